@@ -6,3 +6,10 @@ table upkeep, all as DataFrame jobs.
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Tasks carry the package's small helpers by value, so executors need no copy of it.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -186,7 +186,8 @@ def assign_pages(chunks: DataFrame, pages: DataFrame | None = None) -> DataFrame
         F.least(F.floor(i * F.col("page_count") / F.col("n_chunks")), F.col("page_count") - 1),
     )
     guess = F.least(F.floor(i / V.CHUNKS_PER_GUESSED_PAGE), F.lit(V.PAGE_GUESS_LIMIT))
-    page = F.coalesce(F.greatest(marker.cast("int") - 1, F.lit(0)), spread, guess)
+    marked = F.when(marker.isNotNull(), F.greatest(marker.cast("int") - 1, F.lit(0)))
+    page = F.coalesce(marked, spread, guess)
     return chunks.join(counts, "doc_id").withColumn("page_number", page.cast("int")).drop("n_chunks", "page_count")
 
 
