@@ -18,14 +18,11 @@ from quire.operators.search import top_k
 from quire.session import cut_lineage
 
 PLACES = 9
-POWER_STEPS = 6
+POWER_STEPS = 8
 
 
 def _fingerprint(state: DataFrame, *columns) -> tuple:
-    row = state.agg(
-        F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
-    ).first()
-    return tuple(row)
+    return tuple(state.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first())
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -169,17 +166,18 @@ def eigenvector_centrality(nodes: DataFrame, edges: DataFrame, max_rounds: int =
     Several steps run as one job. A session that has not settled in time gets
     NULL for this measure alone.
     """
-    step = cut_lineage(both_ways(edges).select("session_id", F.col("node").alias("peer"), F.col("peer").alias("node"), "weight"))
-    sizes = session_sizes(nodes)
-    base = nodes.select("session_id", F.col("id").alias("node")).join(sizes, "session_id")
-    state = cut_lineage(base.select("session_id", "node", "n", (1.0 / F.col("n")).alias("x")))
+    base = nodes.select("session_id", F.col("id").alias("node"))
+    links = both_ways(edges).select("session_id", "node", "peer", "weight")
+    itself = base.select("session_id", "node", F.col("node").alias("peer"), F.lit(1.0).alias("weight"))
+    step = cut_lineage(links.unionByName(itself))
+    sizes = base.groupBy("session_id").agg(F.count("*").alias("n"))
+    state = cut_lineage(base.join(sizes, "session_id").select("session_id", "node", "n", (1.0 / F.col("n")).alias("x")))
 
     def advance(rows: DataFrame) -> DataFrame:
-        inflow = rows.join(step.withColumnRenamed("node", "to").withColumnRenamed("peer", "node"), ["session_id", "node"]).select(
-            "session_id", F.col("to").alias("node"), F.lit(None).cast("bigint").alias("n"), (F.col("x") * F.col("weight")).alias("x")
-        )
-        return rows.select("session_id", "node", "n", "x").unionByName(inflow).groupBy("session_id", "node").agg(
-            F.max("n").alias("n"), F.sum("x").alias("x")
+        return (
+            rows.join(step, ["session_id", "node"])
+            .groupBy("session_id", F.col("peer").alias("node"))
+            .agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("weight")).alias("x"))
         )
 
     def unit(rows: DataFrame, name: str) -> DataFrame:
@@ -191,9 +189,10 @@ def eigenvector_centrality(nodes: DataFrame, edges: DataFrame, max_rounds: int =
         rows = state
         for _ in range(POWER_STEPS - 1):
             rows = advance(rows)
-        before = cut_lineage(unit(rows, "x"))
-        after = unit(advance(before), "next")
-        state = cut_lineage(before.withColumnRenamed("x", "was").join(after.drop("n"), ["session_id", "node"]).withColumnRenamed("next", "x"))
+        before = cut_lineage(rows)
+        one = unit(before, "was")
+        two = unit(cut_lineage(advance(before)), "x")
+        state = cut_lineage(one.join(two.drop("n"), ["session_id", "node"]))
         rounds += POWER_STEPS
         open_sessions = (
             state.groupBy("session_id").agg(F.sum(F.abs(F.col("x") - F.col("was"))).alias("change"), F.max("n").alias("n"))
@@ -365,7 +364,7 @@ def communities(
             links.join(one, [*scope, "node"]).join(two, [*scope, "peer"])
             .groupBy(*scope, F.col("a").alias("node"), F.col("b").alias("peer")).agg(F.sum("weight").alias("weight"))
         )
-    quality = modularity(edges, partition, ["resolution"])
+    quality = cut_lineage(modularity(edges, partition, ["resolution"]))
     best = quality.groupBy("session_id").agg(
         F.max_by("resolution", F.struct(F.round("modularity", PLACES), -F.col("resolution"))).alias("resolution"),
         F.max("modularity").alias("modularity"),
