@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import fixed_values as V
-from quire.functions.text import jaccard_words, length_ratio, normalize_text, pair_summary, words
+from quire.functions.text import jaccard_words, length_ratio, let, normalize_text, pair_summary, words
 from quire.operators.search import tiled, unit_rows
+from quire.session import cut_lineage
 
 TILE_ROWS = 1024
 
@@ -43,28 +44,27 @@ def copy_members(docs: DataFrame, text: str = "content") -> DataFrame:
     return keyed.join(nodes, ["session_id", "text_key"]).drop("text_key")
 
 
-def _ranked_terms(nodes: DataFrame) -> DataFrame:
-    """Terms of each node from rarest to most common in its session.
+def ranked_terms(nodes: DataFrame) -> DataFrame:
+    """Terms of each node with their place from rarest to most common.
 
     ``energy`` is the share of the vector's length from this term on, and
-    ``rest`` the number of distinct terms from it on.
+    ``rest`` the number of distinct terms from it on. Both are running totals
+    from the common end, so a node costs one pass.
     """
     counted = (
         nodes.select("session_id", "id", F.explode(words("text")).alias("term"))
         .groupBy("session_id", "id", "term").agg(F.count("*").alias("tf"))
     )
     df = counted.groupBy("session_id", "term").agg(F.count("*").alias("df"))
-    rows = counted.join(df, ["session_id", "term"])
-    from_here = (
-        Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    )
-    whole = Window.partitionBy("id")
     square = (F.col("tf") * F.col("tf")).cast("double")
+    sizes = counted.groupBy("id").agg(F.sqrt(F.sum(square)).alias("norm"), F.count("*").alias("terms"))
+    rows = counted.join(df, ["session_id", "term"]).join(sizes, "id")
+    order = Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("term").desc())
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.select(
-        "session_id", "id", "term",
-        F.sqrt(F.sum(square).over(from_here) / F.sum(square).over(whole)).alias("energy"),
-        F.count("*").over(from_here).alias("rest"),
-        F.count("*").over(whole).alias("terms"),
+        "session_id", "id", "term", F.col("tf").cast("double").alias("tf"), "norm", "terms",
+        (F.sqrt(F.sum(square).over(so_far)) / F.col("norm")).alias("energy"),
+        F.row_number().over(order).alias("rest"),
     )
 
 
@@ -72,7 +72,7 @@ def _bound(cosine: Column, jaccard: Column, length: Column) -> Column:
     return cosine * V.COSINE_WEIGHT + jaccard * V.JACCARD_WEIGHT + length * V.LENGTH_WEIGHT
 
 
-def candidate_pairs(nodes: DataFrame, floor: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, ranked: DataFrame, floor: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Every pair that can reach ``floor``, and few that cannot.
 
     If the first shared term of x and y stands at positions p and q, nothing
@@ -81,7 +81,7 @@ def candidate_pairs(nodes: DataFrame, floor: float, tile_rows: int = TILE_ROWS)
     Terms whose own bound is already below the floor are never joined. Long
     posting lists of large sessions are split into tiles on both sides.
     """
-    terms = _ranked_terms(nodes).join(
+    terms = ranked.select("session_id", "id", "term", "energy", "rest", "terms").join(
         tiled(nodes.select("session_id", "id", F.length("text").alias("chars")), "session_id", "id", "tile", tile_rows),
         ["session_id", "id"],
     )
@@ -110,15 +110,11 @@ def candidate_pairs(nodes: DataFrame, floor: float, tile_rows: int = TILE_ROWS)
     )
 
 
-def _features(nodes: DataFrame) -> DataFrame:
+def _features(nodes: DataFrame, ranked: DataFrame) -> DataFrame:
     """Term counts as a map, vector length, distinct terms and text length."""
-    listed = words("text")
-    counted = (
-        nodes.select("id", F.explode(listed).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    )
-    vectors = counted.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", F.col("tf").cast("double")))).alias("tf"),
-        F.sqrt(F.sum((F.col("tf") * F.col("tf")).cast("double"))).alias("norm"),
+    vectors = ranked.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tf"),
+        F.max("norm").alias("norm"), F.max("terms").alias("terms"),
     )
     return nodes.select("id", "label", "copies", F.length("text").alias("chars")).join(vectors, "id")
 
@@ -126,25 +122,31 @@ def _features(nodes: DataFrame) -> DataFrame:
 def pair_similarity(nodes: DataFrame, floor: float = V.MIN_EDGE_SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs of distinct texts at or above ``floor``.
 
-    0.6 cosine of term counts + 0.3 word overlap + 0.1 length ratio. ``floor``
+    0.6 cosine of term counts + 0.3 word overlap + 0.1 length ratio. The term
+    tables are stored once, as several steps read them. ``floor``
     must be above 0.1: texts with no shared word never reach more.
     """
     if floor <= V.LENGTH_WEIGHT:
         raise ValueError("floor must be above the weight of the length ratio")
-    f = _features(nodes)
+    ranked = cut_lineage(ranked_terms(nodes))
+    f = cut_lineage(_features(nodes, ranked))
     x = f.select([F.col(c).alias(f"x_{c}") for c in f.columns])
     y = f.select([F.col(c).alias(f"y_{c}") for c in f.columns])
     pairs = (
-        candidate_pairs(nodes, floor, tile_rows)
+        candidate_pairs(nodes, ranked, floor, tile_rows)
         .join(x, F.col("src") == F.col("x_id")).join(y, F.col("dst") == F.col("y_id"))
     )
-    products = F.map_values(F.map_zip_with("x_tf", "y_tf", lambda k, a, b: a * b))
-    dot = F.aggregate(products, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
-    scored = pairs.select(
+    products = F.array_compact(F.map_values(F.map_zip_with("x_tf", "y_tf", lambda k, a, b: a * b)))
+    shared = let(
+        products,
+        lambda p: F.struct(F.aggregate(p, F.lit(0.0), lambda acc, v: acc + v).alias("dot"), F.size(p).alias("common")),
+    )
+    common = F.col("_shared.common")
+    scored = pairs.withColumn("_shared", shared).select(
         "session_id", "src", "dst", F.col("x_label").alias("src_label"), F.col("y_label").alias("dst_label"),
         F.col("x_copies").alias("src_copies"), F.col("y_copies").alias("dst_copies"),
-        (dot / (F.col("x_norm") * F.col("y_norm"))).alias("cosine"),
-        jaccard_words(F.map_keys("x_tf"), F.map_keys("y_tf")).alias("jaccard"),
+        (F.col("_shared.dot") / (F.col("x_norm") * F.col("y_norm"))).alias("cosine"),
+        (common / (F.col("x_terms") + F.col("y_terms") - common)).alias("jaccard"),
         length_ratio("x_chars", "y_chars").alias("length_ratio"),
     )
     blended = _bound(F.col("cosine"), F.col("jaccard"), F.col("length_ratio"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import strip
 from quire.operators.chunking import chunk_fixed
+from quire.sources.tables import spread
 
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 64
 EPOCH = 1704067200  # 2024-01-01 UTC
@@ -18,7 +19,8 @@ PAGE_LINES = 40
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, "doc_id") if name == "documents" else rows
 
 
 def corpus(spark, folder) -> DataFrame:

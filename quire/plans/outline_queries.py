@@ -11,6 +11,7 @@ from quire.plans import fixtures as X
 from quire.plans import sqltext as S
 from quire.plans.registry import Registry
 from quire.plans.text_queries import LIKELY_HEADING
+from quire.session import cut_lineage
 
 registry = Registry()
 
@@ -398,13 +399,15 @@ def _(spark, folder):
 
 @registry.add("outline", f"WITH {OUTLINE} SELECT doc_id, page::BIGINT AS page, line_no, level, text FROM finished WHERE text <> ''")
 def _(spark, folder):
-    return keyed(L.outline(X.lines(spark, folder)), big("page").alias("page"), "level", "text")
+    # the line table is read by every step, so it is derived from the texts once
+    return keyed(L.outline(cut_lineage(X.lines(spark, folder))), big("page").alias("page"), "level", "text")
 
 
 @registry.add("outline_from_chars")
 def _(spark, folder):
-    chars = X.chars(spark, folder)
-    return L.outline(L.line_metrics(L.chars_to_lines(chars)), L.font_stats(chars), multiline=True)
+    chars = cut_lineage(X.chars(spark, folder))
+    lines = cut_lineage(L.line_metrics(L.chars_to_lines(chars)))
+    return L.outline(lines, L.font_stats(chars), multiline=True)
 
 
 # --- levels -----------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from quire.operators.stemming import stem_vocabulary
 from quire.plans import fixtures as X
 from quire.plans import sqltext as S
 from quire.plans.registry import Registry
+from quire.session import cut_lineage
 
 registry = Registry()
 
@@ -24,7 +25,9 @@ def big(c):
 def index_for(spark, folder, queries, stems=None):
     chunks = X.chunks(spark, folder)
     asked = Q.query_terms(queries, stems)
-    return Q.build_keyword_index(chunks, stems, only_terms=asked)
+    index = Q.build_keyword_index(chunks, stems, only_terms=asked)
+    # an index is stored once and then read by every step of the search
+    return Q.KeywordIndex(cut_lineage(index.postings), cut_lineage(index.stats))
 
 
 # Questions of a few words, for the modes in which every word must be present.
