@@ -25,8 +25,14 @@ from quire.functions.text import (
 )
 
 INF = float("inf")
-DOC = Window.partitionBy("doc_id").orderBy("line_no")
-PAGE = Window.partitionBy("doc_id", "page").orderBy("line_no")
+
+
+def by_document():
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def by_page():
+    return Window.partitionBy("doc_id", "page").orderBy("line_no")
 
 
 # --- characters to lines ------------------------------------------------------------
@@ -179,7 +185,7 @@ def title_by_font(lines: DataFrame, metadata: DataFrame | None = None) -> DataFr
 
 def _first_lines(lines: DataFrame, n: int) -> DataFrame:
     """The first ``n`` lines of page one of each document, with their order."""
-    place = F.row_number().over(PAGE)
+    place = F.row_number().over(by_page())
     return lines.where("page = 0").withColumn("place", place).where(F.col("place") <= n)
 
 
@@ -235,7 +241,7 @@ def title_candidates(lines: DataFrame, multiline: bool = False) -> DataFrame:
     Largest font 0.9, pattern 0.8, isolation 0.7, centred 0.6; grouped lines
     0.95 when ``multiline`` is on (the published behaviour never reaches it).
     """
-    first = _whitespace(lines.where("page = 0"), PAGE).withColumn("place", F.row_number().over(PAGE)).where("place <= 15")
+    first = _whitespace(lines.where("page = 0"), by_page()).withColumn("place", F.row_number().over(by_page())).where("place <= 15")
     t = strip("text")
     fits = _not_furniture(t)
     place = F.col("place")
@@ -422,12 +428,12 @@ def size_level(size: Column, bold: Column, avg: Column, top: Column) -> Column:
 def spatial_headings(lines: DataFrame) -> DataFrame:
     """Lines set apart above more than below and followed by body text."""
     t = F.col("t")
-    spaced = _whitespace(lines.withColumn("t", strip("text")), DOC)
+    spaced = _whitespace(lines.withColumn("t", strip("text")), by_document())
     body = is_definite_body(t)
     heads = (F.length(t) < 100) & ~t.endswith(".") & (F.col("font_size") >= 11) & ~is_body_like(t)
     kind = F.when(t == "", "").when(body, "b").when(heads, "h").otherwise("-")
-    ahead = F.collect_list("kind").over(DOC.rowsBetween(1, 5))
-    near = DOC.rowsBetween(1, 3)
+    ahead = F.collect_list("kind").over(by_document().rowsBetween(1, 5))
+    near = by_document().rowsBetween(1, 3)
     visible = F.when(t != "", F.col("font_size"))
     marked = (
         spaced.withColumn("kind", kind)
@@ -506,7 +512,7 @@ def sequential_groups(headings: DataFrame) -> DataFrame:
 
 def spacing_percentiles(lines: DataFrame) -> DataFrame:
     """Nearest-rank 50/75/90/95 % of the gaps between lines of a page, per document."""
-    gap = F.abs(F.lead("y_position").over(PAGE) - (F.col("y_position") + F.col("height")))
+    gap = F.abs(F.lead("y_position").over(by_page()) - (F.col("y_position") + F.col("height")))
     gaps = lines.withColumn("gap", gap)
     ordered = Window.partitionBy("doc_id").orderBy("gap", "line_no")
     ranked = gaps.where("gap is not null").withColumn("r", F.row_number().over(ordered))
@@ -525,8 +531,8 @@ def _page_context(lines: DataFrame) -> DataFrame:
     """The first line of each text on a page with its neighbours and gaps."""
     t = strip("text")
     around = (
-        _whitespace(lines, PAGE)
-        .withColumn("before", F.lag(t).over(PAGE)).withColumn("after", F.lead(t).over(PAGE))
+        _whitespace(lines, by_page())
+        .withColumn("before", F.lag(t).over(by_page())).withColumn("after", F.lead(t).over(by_page()))
     )
     entry = F.struct("above", "below", "before", "after", F.col("font_size").alias("line_size"), F.col("is_bold").alias("line_bold"))
     return around.groupBy("doc_id", "page", t.alias("text")).agg(F.min_by(entry, "line_no").alias("c")).select(

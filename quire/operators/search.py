@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import fixed_values as V
-from quire.functions.text import embedding_key, strip, truncate_ellipsis
+from quire.functions.text import embedding_key, normal_words, strip, truncate_ellipsis
 
 SALTS = 8
 TILE_ROWS = 2048
@@ -374,10 +374,8 @@ def embed_text(rows: DataFrame, embed, text: str = "content", model: str = "mode
 
 def term_vectors(rows: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
     """Term counts of the normalised text with the length of the whole vector."""
-    from quire.functions.text import normalize_text, words
-
     counted = (
-        rows.select(*keep, key, F.explode(words(normalize_text(text))).alias("term"))
+        rows.select(*keep, key, F.explode(normal_words(text)).alias("term"))
         .groupBy(*keep, key, "term").agg(F.count("*").alias("tf"))
     )
     norms = counted.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))

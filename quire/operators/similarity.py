@@ -51,19 +51,20 @@ def ranked_terms(nodes: DataFrame) -> DataFrame:
     ``rest`` the number of distinct terms from it on. Both are running totals
     from the common end, so a node costs one pass.
     """
-    counted = (
+    counted = cut_lineage(
         nodes.select("session_id", "id", F.explode(words("text")).alias("term"))
-        .groupBy("session_id", "id", "term").agg(F.count("*").alias("tf"))
+        .groupBy("session_id", "id", "term").agg(F.count("*").cast("double").alias("tf"))
     )
     df = counted.groupBy("session_id", "term").agg(F.count("*").alias("df"))
-    square = (F.col("tf") * F.col("tf")).cast("double")
-    sizes = counted.groupBy("id").agg(F.sqrt(F.sum(square)).alias("norm"), F.count("*").alias("terms"))
-    rows = counted.join(df, ["session_id", "term"]).join(sizes, "id")
-    order = Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("term").desc())
+    square = F.col("tf") * F.col("tf")
+    whole = Window.partitionBy("id")
+    order = whole.orderBy(F.col("df").desc(), F.col("term").desc())
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(
-        "session_id", "id", "term", F.col("tf").cast("double").alias("tf"), "norm", "terms",
-        (F.sqrt(F.sum(square).over(so_far)) / F.col("norm")).alias("energy"),
+    return counted.join(df, ["session_id", "term"]).select(
+        "session_id", "id", "term", "tf",
+        F.sqrt(F.sum(square).over(whole)).alias("norm"),
+        F.count("*").over(whole).alias("terms"),
+        F.sqrt(F.sum(square).over(so_far) / F.sum(square).over(whole)).alias("energy"),
         F.row_number().over(order).alias("rest"),
     )
 

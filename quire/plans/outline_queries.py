@@ -292,7 +292,7 @@ def _(spark, folder):
     SELECT *, CASE WHEN font_size >= 16 OR (is_bold AND font_size >= 14) THEN 1 WHEN font_size >= 14 OR (is_bold AND font_size >= 12) THEN 2 WHEN font_size >= 12 OR is_bold THEN 3 ELSE 4 END AS lv FROM paged)""",
 )
 def _(spark, folder):
-    spaced = L._whitespace(X.lines(spark, folder), L.PAGE)
+    spaced = L._whitespace(X.lines(spark, folder), L.by_page())
     return keyed(spaced, big(L.context_level("font_size", "is_bold", "above")).alias("level"))
 
 
