@@ -77,5 +77,5 @@ def test_batch_answers(spark):
 def test_small_ones(spark):
     assert one(spark, T.collapse_repeats("t"), t="RRRReport a a a b") == "Report a b"
     assert one(spark, T.spoken_duration("t"), t="w " * 110) == "1:06"
-    assert one(spark, T.clean_title("t"), t="  -- A  title **") == "A title"
+    assert one(spark, T.clean_title("t"), t="  -- A  title**") == "A title"
     assert one(spark, T.strip_fillers("t"), t="please explain this based on the following") == "explain this from:"
