@@ -8,8 +8,6 @@ a session or a whole table.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,33 +244,40 @@ def title_candidates(lines: DataFrame, multiline: bool = False) -> DataFrame:
     fits = _not_furniture(t)
     place = F.col("place")
 
-    def pick(rows: DataFrame, method: str, confidence: float, order: Column) -> DataFrame:
-        best = F.struct(t.alias("text"), "font_size", "y_position", place.alias("place"))
-        return rows.groupBy("doc_id").agg(F.min_by(best, order).alias("b")).select(
-            "doc_id", F.lit(method).alias("method"), F.lit(confidence).alias("confidence"),
-            "b.text", "b.font_size", "b.y_position", F.lit(None).cast("array<string>").alias("group_lines"),
-        )
-
     n = F.length(t)
     ten = place <= 10
-    parts = [
-        pick(first.where((n > 3) & (n < 200) & fits), "max_font", 0.9, F.struct(-F.col("font_size"), place)),
-        pick(first.where(ten & (n > 10) & (n < 100) & matches_any(t, V.TITLE_PATTERNS) & fits), "pattern", 0.8, place),
-        pick(first.where(ten & (n > 5) & (n < 150) & fits & (F.col("above") > 25) & (F.col("below") > 15)), "context", 0.7, place),
-        pick(first.where(ten & (n > 5) & (n < 150) & fits & (F.col("position") == "center")), "center", 0.6, place),
+    tests = [
+        ("max_font", 0.9, (n > 3) & (n < 200) & fits, F.struct(-F.col("font_size"), place)),
+        ("pattern", 0.8, ten & (n > 10) & (n < 100) & matches_any(t, V.TITLE_PATTERNS) & fits, F.struct(place)),
+        ("context", 0.7, ten & (n > 5) & (n < 150) & fits & (F.col("above") > 25) & (F.col("below") > 15), F.struct(place)),
+        ("center", 0.6, ten & (n > 5) & (n < 150) & fits & (F.col("position") == "center"), F.struct(place)),
     ]
+    line = F.struct(t.alias("text"), "font_size", "y_position")
+    best = first.groupBy("doc_id").agg(*[F.min_by(line, F.when(test, order)).alias(name) for name, _, test, order in tests])
+    listed = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("method"), F.lit(confidence).alias("confidence"), F.col(f"{name}.text").alias("text"),
+                F.col(f"{name}.font_size").alias("font_size"), F.col(f"{name}.y_position").alias("y_position"),
+            )
+            for name, confidence, _, _ in tests
+        ]
+    )
+    found = best.select("doc_id", F.explode(listed).alias("c")).select(
+        "doc_id", "c.*", F.lit(None).cast("array<string>").alias("group_lines")
+    ).where("text is not null")
     if multiline:
         groups = prominent_line_groups(lines).where("line_count between 2 and 5 and spread <= 2.0 and score > 0 and text <> ''")
         best = groups.groupBy("doc_id").agg(
             F.max_by(F.struct("text", "font_size", "y_position", "group_lines"), F.struct("score", -F.col("group_no"))).alias("b")
         )
-        parts.append(
+        found = found.unionByName(
             best.select(
                 "doc_id", F.lit("multiline").alias("method"), F.lit(0.95).alias("confidence"),
                 "b.text", "b.font_size", "b.y_position", "b.group_lines",
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    return found
 
 
 def best_title(lines: DataFrame, multiline: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ PAGE_LINES = 40
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(rows, "doc_id") if name == "documents" else rows
+    return spread(rows) if name == "documents" else rows
 
 
 def corpus(spark, folder) -> DataFrame:

@@ -9,14 +9,14 @@ from quire import fixed_values as V
 from quire.functions.text import col, strip
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
+def spread(rows: DataFrame) -> DataFrame:
     """Spread a table stored in fewer pieces than there are cores over all of them.
 
     Text work is heavy per row, and one small file would keep one core busy.
     Large tables have more pieces than cores and are left as they are.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *keys)
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
