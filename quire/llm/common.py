@@ -111,6 +111,41 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
     return mix(out[keep]), np.concatenate(([0], np.cumsum(n)))
 
 
+class IdBits:
+    """One bit per hash of the ids of a table: a filter of fixed size (2**25 bits, 4 MB) that travels with the tasks.
+
+    It passes every id of the table, and others with the chance that their bit is
+    set, so it only spares work; an exact join has to follow where that matters.
+    """
+
+    BITS, CELL = 1 << 25, 1 << 15
+
+    def __init__(self, ids: DataFrame, column: str, hashed: bool = False) -> None:
+        place = F.pmod(F.col(column), F.lit(self.BITS)) + 1 if hashed else self.bit(column)
+        cells = ids.select(F.bitmap_bucket_number(place).alias("cell"), F.bitmap_bit_position(place).alias("at")).groupBy("cell").agg(F.bitmap_construct_agg("at").alias("bits"))
+        table = np.zeros(self.BITS // 8, np.uint8)
+        for r in cells.collect():  # at most BITS / CELL rows of 4 KB
+            a = (r["cell"] - 1) * self.CELL // 8
+            table[a : a + self.CELL // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        self.shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @classmethod
+    def bit(cls, column: str):
+        """An id's place, from 1, as Spark's bitmap functions count."""
+        return F.pmod(F.xxhash64(column), F.lit(cls.BITS)) + 1
+
+    def test(self, places: np.ndarray) -> np.ndarray:
+        at = places - 1
+        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    def contains(self, hashes: np.ndarray) -> np.ndarray:
+        """For a table of 64-bit hashes (``hashed``): which of ``hashes`` may be among them."""
+        return self.test((hashes & np.uint64(self.BITS - 1)).astype(np.int64) + 1)
+
+    def __getstate__(self):
+        return {"shared": self.shared}
+
+
 def forest(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """``labels`` (each a node's root) after joining the pairs (left, right): the smallest root wins."""
     while len(left):

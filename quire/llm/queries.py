@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import chat, licenses
 from quire.llm.bpe import bpe_decode, bpe_encode
 from quire.llm.common import table
+from quire.llm.decontaminate import contaminated
+from quire.llm.language import fit_languages, predict_languages
+from quire.llm.neardup import near_duplicates
+from quire.llm.pii import find_pii, fit_pii
+from quire.llm.quality import fit_quality, learnable, score_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -22,9 +28,55 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_licenses", licenses.SQL)
+def _(spark, folder):
+    return licenses.license_digest(licenses.scan_licenses(table(spark, folder, "documents")))
+
+
+@query("op2_chat", chat.SQL)
+def _(spark, folder):
+    return chat.chat_digest(table(spark, folder, "conversations"))
+
+
+@query("op3_decontaminate")
+def _(spark, folder):
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_language")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = F.expr("crc32(cast(doc_id as string)) % 4 = 2")
+    model = fit_languages(docs.where(F.col("lang").isNotNull() & ~F.coalesce(held_out, F.lit(False))))
+    return predict_languages(docs.withColumn("_held_out", held_out), model, keep=("doc_id", "_held_out")).withColumnRenamed("_held_out", "held_out")
+
+
 @query("op9_bpe")
 def _(spark, folder):
     encoded = bpe_encode(table(spark, folder, "documents"), packed=True).withColumn("ids_sha256", F.sha2("ids", 256))
     return bpe_decode(encoded, keep=("doc_id", "n_tokens", "ids_sha256")).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op7_neardup")
+def _(spark, folder):
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op8_pii")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    return find_pii(docs, fit_pii(docs)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans",
+    )
+
+
+@query("op10_quality")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = fit_quality(docs, learnable(table(spark, folder, "labels")))
+    return score_quality(docs, model).select(
+        "doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"),
+    )
