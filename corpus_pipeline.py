@@ -1,25 +1,68 @@
-"""From raw documents to token ids, stage by stage."""
+"""From raw documents to token ids: quality, near-duplicates, contamination, personal data, encoding.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is
+written and read again as the next stage's docs. All but the last return the
+columns of ``documents``. Documents are told apart by doc_id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.bpe import bpe_encode
-from quire.session import scratch_path
+from quire.llm.common import table
+from quire.llm.decontaminate import contaminated
+from quire.llm.neardup import near_duplicates
+from quire.llm.pii import find_pii, fit_pii
+from quire.llm.quality import fit_quality, learnable, score_quality
+from quire.session import cut_lineage, scratch_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Score from which a document is kept, as in the query of the classifier.
+GOOD = 0.3
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject; it learns from the labels that aren't held out."""
+    model = fit_quality(docs, learnable(table(spark, sf_dir, "labels")))
+    return score_quality(docs, model, keep=COLUMNS).where(F.col("score") >= GOOD).select(*COLUMNS)
+
+
+def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates."""
+    dropped = cut_lineage(near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    leaks = cut_lineage(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in every text replaced by its kind; a null text stays null."""
+    found = find_pii(docs, fit_pii(docs), keep=COLUMNS)
+    text = F.when(F.col("text").isNotNull(), F.col("redacted"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("bigint").alias("n_chars"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """doc_id, lang, source, n_tokens and the ids of every document."""
     return bpe_encode(docs, keep=("doc_id", "lang", "source"))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("quality", keep_good), ("near_duplicates", keep_one_of_a_kind), ("contamination", drop_contaminated), ("personal_data", redact), ("encoding", encode),
+]
+#: The models and hashes can't be written in SQL; tests/llm/test_pipeline.py has plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -11,10 +11,12 @@ from quire.llm import chat, licenses
 from quire.llm.bpe import bpe_decode, bpe_encode
 from quire.llm.common import table
 from quire.llm.decontaminate import contaminated
+from quire.llm.html import extract_text
 from quire.llm.language import fit_languages, predict_languages
 from quire.llm.neardup import near_duplicates
 from quire.llm.pii import find_pii, fit_pii
 from quire.llm.quality import fit_quality, learnable, score_quality
+from quire.llm.vectors import link_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -43,6 +45,11 @@ def _(spark, folder):
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op4_html")
+def _(spark, folder):
+    return extract_text(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 @query("op5_language")
 def _(spark, folder):
     docs = table(spark, folder, "documents")
@@ -59,6 +66,11 @@ def _(spark, folder):
     )
 
 
+@query("op6_vectors")
+def _(spark, folder):
+    return link_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op7_neardup")
 def _(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
