@@ -14,6 +14,8 @@ from quire.session import cut_lineage
 
 #: Bytes of text hashed at a time: bounds the work arrays whatever the length of a text.
 CHUNK = 1 << 21
+#: Rows that an operator's function gets at a time: its work arrays follow these and not the batch.
+SLICE = 500
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -26,12 +28,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch; it yields any number of batches of ``schema``."""
+    """``fn`` over every Arrow batch, SLICE rows at a time; it yields any number of batches of ``schema``."""
 
     def each(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+            for a in range(0, batch.num_rows, SLICE):
+                yield from fn(batch.slice(a, SLICE))
 
     return df.mapInArrow(each, schema)
 

@@ -115,16 +115,14 @@ def contaminated(
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # at most ``least`` numbers
 
     def find(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for a in range(0, batch.num_rows, 1000):
-            part = batch.slice(a, 1000)
-            texts = texts_of(part.column("_text"))
-            for size in sizes:
-                runs, of, at, _ = _runs(texts, size)
-                hit = among.contains(runs)
-                runs, of, at = runs[hit], of[hit], at[hit]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(of)), pa.array(at), pa.array(runs.view(np.int64))], names=["doc_id", "doc_at", "seed"],
-                )
+        texts = texts_of(batch.column("_text"))
+        for size in sizes:
+            runs, of, at, _ = _runs(texts, size)
+            hit = among.contains(runs)
+            runs, of, at = runs[hit], of[hit], at[hit]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(of)), pa.array(at), pa.array(runs.view(np.int64))], names=["doc_id", "doc_at", "seed"],
+            )
 
     rows = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("_text"))
     found = map_batches(rows, find, "doc_id bigint, doc_at bigint, seed bigint")

@@ -111,19 +111,15 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        # A slice of rows at a time, so the arrays follow the texts and not the batch.
-        step = 500
-        for a in range(0, batch.num_rows, step):
-            part = batch.slice(a, step)
-            words, offsets = word_hashes(texts_of(part.column("_text")))
-            k1, k2 = text_keys(words, offsets)
-            hashes, ends = shingle_hashes(words, offsets, shingle)
-            keys = band_keys(signatures(*weighted(hashes, ends), part.num_rows, bands * rows), bands, rows)
-            none = np.diff(offsets) == 0
-            flat = list_column(keys.view(np.int64).ravel(), np.arange(part.num_rows + 1) * bands, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), pa.array(k1, mask=none), pa.array(k2, mask=none), flat], names=[*keep, "k1", "k2", "bands"],
-            )
+        words, offsets = word_hashes(texts_of(batch.column("_text")))
+        k1, k2 = text_keys(words, offsets)
+        hashes, ends = shingle_hashes(words, offsets, shingle)
+        keys = band_keys(signatures(*weighted(hashes, ends), batch.num_rows, bands * rows), bands, rows)
+        none = np.diff(offsets) == 0
+        flat = list_column(keys.view(np.int64).ravel(), np.arange(batch.num_rows + 1) * bands, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in keep), pa.array(k1, mask=none), pa.array(k2, mask=none), flat], names=[*keep, "k1", "k2", "bands"],
+        )
 
     return map_batches(docs.select(*keep, docs[text].cast("string").alias("_text")), make, f"{kinds}, k1 bigint, k2 bigint, bands array<bigint>")
 
@@ -138,11 +134,9 @@ def shingle_sets(docs: DataFrame, sought: DataFrame, size: int, text: str) -> Da
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(pa.array(among.test(batch.column("_bit").to_numpy())))
-        for a in range(0, batch.num_rows, 500):
-            part = batch.slice(a, 500)
-            hashes, ends = shingle_hashes(*word_hashes(texts_of(part.column("_text"))), size)
-            sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        hashes, ends = shingle_hashes(*word_hashes(texts_of(batch.column("_text"))), size)
+        sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     ids = docs.where("doc_id is not null").select("doc_id", among.bit("doc_id").alias("_bit"), F.col(text).alias("_text"))
     return map_batches(ids, make, "doc_id bigint, shingles binary").where("length(shingles) > 0")
