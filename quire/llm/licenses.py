@@ -123,10 +123,10 @@ def _twin() -> str:
     return rf"""
     WITH known(label, base, phrase, whole, inside) AS (VALUES {rows}),
     d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-    m AS (SELECT doc_id, w, label, base, whole, inside, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(phrase)] = phrase)) AS at
+    m AS (SELECT doc_id, w, label, base, whole, inside, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(phrase)] = phrase)) AS place
           FROM d, known WHERE list_contains(w, phrase[1])),
-    c AS (SELECT *, len(list_filter(range(len(whole)), lambda k: at - inside + k >= 0 AND w[at - inside + k + 1] = whole[k + 1])) / len(whole)::DOUBLE AS coverage FROM m),
-    g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(at) FILTER (base) AS first_word, max(at) FILTER (base) AS last_word,
+    c AS (SELECT *, len(list_filter(range(len(whole)), lambda k: place - inside + k >= 0 AND w[place - inside + k + 1] = whole[k + 1])) / len(whole)::DOUBLE AS coverage FROM m),
+    g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,
                  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
                  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM c GROUP BY doc_id)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
