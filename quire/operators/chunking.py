@@ -56,12 +56,12 @@ def _piece(text: Column, run: Column) -> Column:
 
 def _split_keep(text: Column, separator: str) -> Column:
     """Parts with the separator at the start of each following part."""
-    if separator == "\n\n":
-        # breaks pair up from the first one, so look back over whole pairs only
-        pattern = "(?<=(?:^|[^\n])(?:\n\n){0,200})(?=\n\n)"
+    if len(separator) > 1:
+        # separators are taken from the left and don't overlap, however long a run of them is
+        parts = F.transform(F.split(text, separator), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(separator), p)))
     else:
-        pattern = f"(?=[{separator}])"
-    return F.array_remove(F.split(text, pattern), "")
+        parts = F.split(text, f"(?=[{separator}])")
+    return F.array_remove(parts, "")
 
 
 def _split_level(pieces: Column, separator: str, level: int, size: int) -> Column:

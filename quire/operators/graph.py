@@ -54,7 +54,7 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def shortest_paths(edges: DataFrame, distance: str = "weight", sources: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def shortest_paths(edges: DataFrame, distance: str = "weight", sources: DataFrame | None = None) -> DataFrame:
     """Distance and number of shortest paths from each source to what it reaches.
 
     Every round extends all paths by one edge, keeping the shortest per
@@ -72,7 +72,7 @@ def shortest_paths(edges: DataFrame, distance: str = "weight", sources: DataFram
         F.lit(0.0).alias("dist"), F.lit(1.0).alias("paths"),
     )
     state, seen = cut_lineage(start), None
-    for _ in range(max_rounds):
+    while True:
         extended = (
             state.join(step, ["session_id", "node"])
             .where(F.col("peer") != F.col("source"))
@@ -91,7 +91,6 @@ def shortest_paths(edges: DataFrame, distance: str = "weight", sources: DataFram
         if mark == seen:
             return state
         seen = mark
-    raise RuntimeError("shortest paths did not settle")
 
 
 def closeness_centrality(nodes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -114,7 +113,7 @@ def closeness_centrality(nodes: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def betweenness_centrality(
-    nodes: DataFrame, edges: DataFrame, paths: DataFrame, distance: str = "weight", max_rounds: int = 200
+    nodes: DataFrame, edges: DataFrame, paths: DataFrame, distance: str = "weight"
 ) -> DataFrame:
     """Share of shortest paths through each node, scaled to the session.
 
@@ -132,7 +131,7 @@ def betweenness_centrality(
     )
     state = tight.select("session_id", "source", F.col("node").alias("peer"), F.lit(0.0).alias("flow")).limit(0)
     seen = None
-    for _ in range(max_rounds):
+    while True:
         state = cut_lineage(
             tight.join(state, ["session_id", "source", "peer"], "left")
             .groupBy("session_id", "source", F.col("node").alias("peer"))
@@ -142,8 +141,6 @@ def betweenness_centrality(
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("betweenness did not settle")
     through = (
         state.where("source <> peer").groupBy("session_id", F.col("peer").alias("node"))
         .agg(F.sum("flow").alias("flow"))
@@ -230,7 +227,7 @@ def centrality(nodes: DataFrame, edges: DataFrame, distance: str = "weight") ->
 
 # --- components and communities -------------------------------------------------------
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lowest node id of each node's component.
 
     Alternates two star steps: hang larger neighbours on the smallest
@@ -240,7 +237,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     keys = ["session_id", "u"]
     pairs = cut_lineage(edges.select("session_id", F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         ways = pairs.unionByName(pairs.select("session_id", F.col("v").alias("u"), F.col("u").alias("v")))
         low = ways.groupBy(*keys).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = ways.where("v > u").join(low, keys).select("session_id", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -255,8 +252,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     roots = pairs.groupBy(*keys).agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.select("session_id", F.col("id").alias("node")).join(roots, ["session_id", "node"], "left").withColumn(
         "component", F.coalesce("component", "node")
@@ -294,12 +289,14 @@ def modularity(edges: DataFrame, partition: DataFrame, by: list[str] | None = No
     )
 
 
-def _local_moves(links: DataFrame, rounds: int) -> DataFrame:
+def _local_moves(links: DataFrame) -> DataFrame:
     """Move nodes to the neighbouring community that gains most.
 
     ``links``: session_id, resolution, node, peer, weight in both directions,
-    self links once with their doubled weight. Half of the nodes may move in a
-    round, so two neighbours do not swap for ever.
+    self links once with their doubled weight. Rounds go on until no node gains
+    by moving. A part of the nodes may move in a round, another one each time and
+    a smaller one as rounds go by, so neighbours don't swap for ever: a move by
+    itself raises the modularity.
     """
     scope = ["session_id", "resolution"]
     strength = links.groupBy(*scope, "node").agg(F.sum("weight").alias("k"))
@@ -307,7 +304,8 @@ def _local_moves(links: DataFrame, rounds: int) -> DataFrame:
     fixed = cut_lineage(strength.join(total, scope))
     state = cut_lineage(fixed.withColumn("community", F.col("node")))
     apart = links.where("node <> peer")
-    for number in range(rounds):
+    number = 0
+    while True:
         place = state.select(*scope, F.col("node").alias("peer"), F.col("community").alias("target"))
         mass = state.groupBy(*scope, F.col("community").alias("target")).agg(F.sum("k").alias("mass"))
         pull = (
@@ -326,34 +324,34 @@ def _local_moves(links: DataFrame, rounds: int) -> DataFrame:
                 F.max(F.when(F.col("target") == F.col("community"), F.col("gain"))).alias("stay"),
             )
         )
-        may_move = F.pmod(F.xxhash64("node"), F.lit(2)) == number % 2
-        moved = (
-            state.join(best, [*scope, "node"])
-            .withColumn("new", F.when(may_move & (F.col("top") > F.col("stay")), F.col("best")).otherwise(F.col("community")))
-        )
-        moved = cut_lineage(moved)
-        settled = moved.where("new <> community").isEmpty()
-        state = moved.select(*scope, "node", "k", "m2", F.col("new").alias("community"))
-        if settled and number:
+        may_move = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2 + number // 8)) == 0
+        moved = cut_lineage(state.join(best, [*scope, "node"]).withColumn("gains", F.col("top") > F.col("stay")))
+        if moved.where("gains").isEmpty():
             break
+        new = F.when(may_move & F.col("gains"), F.col("best")).otherwise(F.col("community"))
+        state = moved.select(*scope, "node", "k", "m2", new.alias("community"))
+        number += 1
     return state.select(*scope, "node", "community")
 
 
 def communities(
-    nodes: DataFrame, edges: DataFrame, resolutions: list[float] = V.RESOLUTIONS, rounds: int = 10, levels: int = 2
+    nodes: DataFrame, edges: DataFrame, resolutions: list[float] = V.RESOLUTIONS
 ) -> DataFrame:
     """The partition of highest modularity over the resolutions.
 
     All resolutions run side by side. After each level the communities become
-    the nodes of a smaller graph. Nodes without edges keep to themselves.
+    the nodes of a smaller graph, until a level moves nothing. Nodes without
+    edges keep to themselves.
     """
     edges = cut_lineage(edges.select("session_id", "src", "dst", "weight"))
     scales = F.explode(F.array(*[F.lit(float(r)) for r in resolutions]))
     links = cut_lineage(both_ways(edges).withColumn("resolution", scales))
     scope = ["session_id", "resolution"]
     partition = links.select(*scope, "node", F.col("node").alias("community")).distinct()
-    for _ in range(levels):
-        level = _local_moves(links, rounds)
+    while True:
+        level = _local_moves(links)
+        if level.where("node <> community").isEmpty():
+            break
         lifted = level.select(*scope, F.col("node").alias("community"), F.col("community").alias("upper"))
         partition = cut_lineage(
             partition.join(lifted, [*scope, "community"]).select(*scope, "node", F.col("upper").alias("community"))

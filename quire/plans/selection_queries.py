@@ -101,13 +101,13 @@ def _(spark, folder):
 
 @registry.add(
     "strategic_content",
-    f"WITH {STRATEGIC} SELECT doc_id, content, strategy_used, total_chunks, length(content) AS content_length, round(selection_quality, 6) AS selection_quality FROM strategic",
+    f"WITH {STRATEGIC} SELECT doc_id, content, strategy_used, total_chunks, length(content) AS content_length, round(selection_quality, 9) AS selection_quality FROM strategic",
 )
 def _(spark, folder):
     s = G.strategic_content(X.chunks(spark, folder), probes(spark, folder))
     return s.select(
         "doc_id", "content", "strategy_used", big("total_chunks").alias("total_chunks"),
-        big("content_length").alias("content_length"), F.round("selection_quality", 6).alias("selection_quality"),
+        big("content_length").alias("content_length"), F.round("selection_quality", 9).alias("selection_quality"),
     )
 
 

@@ -151,9 +151,9 @@ def _(spark, folder):
     return docs(spark, folder).groupBy(T.embedding_key("mini", "text").alias("embedding_key")).agg(F.count("*").alias("n"))
 
 
-@registry.add("content_quality", f"SELECT doc_id, round({S.content_quality('text')}, 6) AS quality FROM documents")
+@registry.add("content_quality", f"SELECT doc_id, round({S.content_quality('text')}, 9) AS quality FROM documents")
 def _(spark, folder):
-    return docs(spark, folder).select("doc_id", F.round(T.content_quality("text"), 6).alias("quality"))
+    return docs(spark, folder).select("doc_id", F.round(T.content_quality("text"), 9).alias("quality"))
 
 
 @registry.add("text_properties", f"SELECT doc_id, length(text) AS length, len({S.words('text')})::BIGINT AS word_count FROM documents")

@@ -71,3 +71,13 @@ def test_pages(spark):
     found = [r["page_number"] for r in C.assign_pages(rows, pages).orderBy("chunk_index").collect()]
     assert found == [2, 0, 0, 1]
     assert [r["page_number"] for r in C.assign_pages(rows).orderBy("chunk_index").collect()] == [2, 0, 0, 1]
+
+
+def test_long_runs_of_blank_lines_merge_alike(spark):
+    wanted = None
+    for breaks in (300, 1400):
+        text = "a" * 30 + "\n" * breaks + "b" * 30 + "\n\n" + "c" * 30
+        rows = spark.createDataFrame([(1, "s", text)], "doc_id long, session_id string, text string")
+        got = [r["content"] for r in C.chunk_recursive(rows, 100, 0).orderBy("chunk_index").collect()]
+        wanted = wanted or got
+        assert got == wanted and got[-1].endswith("b" * 30 + "\n\n" + "c" * 30)

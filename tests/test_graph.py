@@ -71,7 +71,7 @@ def test_components_and_communities(spark, small):
     chain = spark.createDataFrame([("s", i, i + 1, 1.0) for i in range(40)], "session_id string, src long, dst long, weight double")
     chain_nodes = spark.createDataFrame([("s", i) for i in range(41)], "session_id string, id long")
     assert set(values(GR.connected_components(chain_nodes, chain), "component").values()) == {0}
-    found = GR.communities(nodes, edges, rounds=6)
+    found = GR.communities(nodes, edges)
     rows = found.collect()
     assert sorted(r["node"] for r in rows) == ids
     assert -0.5 <= rows[0]["modularity"] <= 1
@@ -131,3 +131,22 @@ def test_tiles_of_dense_pairs(spark):
         assert got == want
         s = H.similarity_stats(vectors, tile_rows=tile).first()
         assert s["pairs"] == 435 and s["mean"] == pytest.approx(sum(want.values()) / 435, abs=1e-5) and s["min"] == 0.0
+
+
+def test_no_node_gains_by_moving_once_a_level_has_settled(spark):
+    rng = random.Random(11)
+    links = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(70)})
+    weights = {e: 1.0 + rng.randrange(3) for e in links}
+    rows = [(1.0, a, b, w) for (x, y), w in weights.items() for a, b in ((x, y), (y, x))]
+    ways = spark.createDataFrame([("s", *r) for r in rows], "session_id string, resolution double, node long, peer long, weight double")
+    of = {r["node"]: r["community"] for r in GR._local_moves(ways).collect()}
+    strength = Counter()
+    for _, a, _, w in rows:
+        strength[a] += w
+    total = sum(strength.values())
+
+    def gain(node, target):
+        mass = sum(k for n, k in strength.items() if of[n] == target and n != node)
+        return sum(w for _, a, b, w in rows if a == node and b != node and of[b] == target) - strength[node] * mass / total
+
+    assert all(gain(n, t) <= gain(n, of[n]) + 1e-6 for n in of for t in set(of.values()))
