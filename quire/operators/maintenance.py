@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed_values as V
-from quire.operators.search import build_keyword_index
+from quire.operators.search import KeywordIndex, build_keyword_index, write_keyword_index
 
 
 def session_overview(sessions: DataFrame, documents: DataFrame, now) -> DataFrame:
@@ -74,11 +74,23 @@ def readiness(sessions: DataFrame, documents: DataFrame, chunks: DataFrame, vect
     return per_document, per_session
 
 
-def rebuild_index(chunks: DataFrame, folder: str) -> None:
-    """Recompute the postings of the sessions in ``chunks``; others stay as stored."""
-    build_keyword_index(chunks).postings.write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("session_id").parquet(f"{folder}/postings")
+def rebuild_index(chunks: DataFrame, folder: str, sessions: DataFrame | None = None) -> None:
+    """Recompute the stored index of ``sessions`` from their ``chunks``; others stay as stored.
+
+    By default the sessions are those of the chunks. One that has no term any
+    more is left with a row without a term, which readers leave out.
+    """
+    index = build_keyword_index(chunks)
+    wanted = (chunks if sessions is None else sessions).select("session_id").distinct()
+    blank = wanted.join(index.postings.select("session_id").distinct(), "session_id", "left_anti")
+    uncounted = wanted.join(index.sessions.select("session_id"), "session_id", "left_anti")
+    write_keyword_index(
+        KeywordIndex(
+            index.postings.unionByName(blank, allowMissingColumns=True), index.stats,
+            index.sessions.unionByName(uncounted.select("session_id", F.lit(0).cast("long").alias("chunks"), F.lit(0).cast("long").alias("tokens"))),
+        ),
+        folder,
+    )
 
 
 def cache_stats(cache: DataFrame, now, ttl_days: int = V.ANSWER_TTL_DAYS) -> DataFrame:

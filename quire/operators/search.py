@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire import fixed_values as V
@@ -44,6 +44,8 @@ class KeywordIndex:
 
     postings: DataFrame  # session_id, doc_id, chunk_id, length, term, tf
     stats: DataFrame  # one row: chunks, mean_length
+    sessions: DataFrame | None = None  # session_id, chunks, tokens
+    terms: DataFrame | None = None  # stored indexes only: session_id, term, df
 
 
 def _with_stems(rows: DataFrame, stems: DataFrame | None) -> DataFrame:
@@ -67,9 +69,7 @@ def build_keyword_index(
     """
     lexed = chunks.select("session_id", "doc_id", "chunk_id", tokens(F.col("content")).alias("tokens"))
     lexed = lexed.withColumn("length", F.size("tokens"))
-    stats = lexed.agg(
-        F.count("*").alias("chunks"), F.avg(F.col("length").cast("double")).alias("mean_length")
-    )
+    sessions = lexed.groupBy("session_id").agg(F.count("*").alias("chunks"), F.sum(F.col("length").cast("long")).alias("tokens"))
     exploded = lexed.select("session_id", "doc_id", "chunk_id", "length", F.explode("tokens").alias("term"))
     exploded = _with_stems(exploded, stems)
     if only_terms is not None:
@@ -77,15 +77,35 @@ def build_keyword_index(
     postings = exploded.groupBy("session_id", "doc_id", "chunk_id", "length", "term").agg(
         F.count("*").alias("tf")
     )
-    return KeywordIndex(postings, stats)
+    return KeywordIndex(postings, corpus_stats(sessions), sessions)
+
+
+def corpus_stats(sessions: DataFrame) -> DataFrame:
+    """Chunks and their mean length over all sessions."""
+    return sessions.agg(
+        F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), (F.sum("tokens") / F.nullif(F.sum("chunks"), F.lit(0))).alias("mean_length")
+    )
+
+
+def write_keyword_index(index: KeywordIndex, folder: str, buckets: int = 8) -> None:
+    """Store an index: postings, term frequencies and counts, one partition per session.
+
+    A write replaces the sessions it holds and leaves the others. A session's
+    postings are spread over at most ``buckets`` tasks and files.
+    """
+    terms = index.postings.groupBy("session_id", "term").agg(F.count("*").alias("df"))
+    spread = index.postings.repartition("session_id", F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)))
+    for name, rows in (("postings", spread), ("terms", terms.repartition("session_id")), ("sessions", index.sessions.repartition("session_id"))):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{folder}/{name}")
+
 
+def read_keyword_index(spark: SparkSession, folder: str) -> KeywordIndex:
+    """A stored index. Emptied sessions hold one row without a term, which is left out."""
+    def stored(name: str) -> DataFrame:
+        return spark.read.parquet(f"{folder}/{name}").withColumn("session_id", F.col("session_id").cast("string"))
 
-def write_keyword_index(index: KeywordIndex, folder: str) -> None:
-    """Store an index: one partition per session, later rebuilds replace only theirs."""
-    index.postings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "session_id"
-    ).parquet(f"{folder}/postings")
-    index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+    sessions = stored("sessions")
+    return KeywordIndex(stored("postings").where("term is not null"), corpus_stats(sessions), sessions, stored("terms").where("term is not null"))
 
 
 def document_frequency(index: KeywordIndex) -> DataFrame:
@@ -154,7 +174,10 @@ def keyword_scores(
     wanted = asked.groupBy("query_id", "session_id", "term").agg(F.count("*").alias("asked"))
     needed = wanted.groupBy("query_id").agg(F.count("*").alias("needed"))
     scope = ["session_id", "term"] if stats == "session" else ["term"]
-    df = index.postings.groupBy(*scope).agg(F.count("*").alias("df"))
+    if index.terms is None:
+        df = index.postings.groupBy(*scope).agg(F.count("*").alias("df"))
+    else:  # of the stored frequencies, only those of the terms asked for
+        df = index.terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy(*scope).agg(F.sum("df").alias("df"))
     hits = salted(index.postings, "chunk_id", salts).join(
         per_salt(wanted.join(df, scope), salts), ["session_id", "term", "salt"]
     )

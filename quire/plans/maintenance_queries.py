@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import maintenance as M
-from quire.operators.search import build_keyword_index, write_keyword_index
+from quire.operators.search import build_keyword_index, read_keyword_index, write_keyword_index
 from quire.plans import fixtures as X
 from quire.plans.registry import Registry
 from quire.plans.search_queries import POSTINGS
@@ -125,15 +125,33 @@ def _(spark, folder):
     return M.readiness(X.sessions(spark, folder), X.corpus(spark, folder), X.chunks(spark, folder), X.vectors(spark, folder))[1]
 
 
-@registry.add("rebuild_index", f"WITH {POSTINGS} SELECT session_id, count(*) AS postings, sum(tf)::BIGINT AS tokens FROM postings GROUP BY 1")
-def _(spark, folder):
+def rebuilt(spark, folder):
+    """An index in which src3 was stored with doubled texts and src4 with one chunk, src5 with all; rebuilt, src5 from nothing."""
     path = scratch_path(spark, "index")
     chunks = X.chunks(spark, folder)
-    # one session is first stored with doubled texts, then rebuilt from its chunks
-    hot = F.col("session_id") == "src3"
-    write_keyword_index(build_keyword_index(chunks.withColumn("content", F.when(hot, F.concat("content", F.lit(" "), "content")).otherwise(F.col("content")))), path)
-    M.rebuild_index(chunks.where(hot), path)
-    return spark.read.parquet(f"{path}/postings").groupBy("session_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    content = F.when(F.col("session_id") == "src3", F.concat("content", F.lit(" "), "content")).otherwise(F.col("content"))
+    write_keyword_index(build_keyword_index(chunks.withColumn("content", content).where("session_id <> 'src4' or chunk_index = 0")), path)
+    changed = X.sessions(spark, folder).where("session_id in ('src3', 'src4', 'src5')")
+    M.rebuild_index(chunks.where("session_id in ('src3', 'src4')"), path, changed)
+    return read_keyword_index(spark, path)
+
+
+@registry.add("rebuild_index", f"WITH {POSTINGS} SELECT session_id, count(*) AS postings, sum(tf)::BIGINT AS tokens FROM postings WHERE session_id <> 'src5' GROUP BY 1")
+def _(spark, folder):
+    return rebuilt(spark, folder).postings.groupBy("session_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+
+
+@registry.add(
+    "rebuild_index_stats",
+    f"""WITH {POSTINGS} SELECT (SELECT count(*) FROM lexed WHERE session_id <> 'src5') AS chunks, round((SELECT avg(len(toks)) FROM lexed WHERE session_id <> 'src5'), 6) AS mean_length,
+    count(*) AS terms, sum(df)::BIGINT AS postings FROM (SELECT session_id, term, count(*) AS df FROM postings WHERE session_id <> 'src5' GROUP BY ALL)""",
+)
+def _(spark, folder):
+    index = rebuilt(spark, folder)
+    return index.terms.agg(
+        index.stats.select("chunks").scalar().alias("chunks"), F.round(index.stats.select("mean_length").scalar(), 6).alias("mean_length"),
+        F.count("*").alias("terms"), F.sum("df").alias("postings"),
+    )
 
 
 _CACHE = "cache AS (SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'pdf_analysis' ELSE 'relationship' END AS kind, floor(value * 1000)::BIGINT AS size_bytes, floor(epoch(ts))::BIGINT AS written_at FROM events), newest AS (SELECT max(written_at) AS t FROM cache)"

@@ -13,7 +13,7 @@ from quire.operators.stemming import stem_vocabulary
 from quire.plans import fixtures as X
 from quire.plans import sqltext as S
 from quire.plans.registry import Registry
-from quire.session import cut_lineage
+from quire.session import cut_lineage, scratch_path
 
 registry = Registry()
 
@@ -27,7 +27,7 @@ def index_for(spark, folder, queries, stems=None):
     asked = Q.query_terms(queries, stems)
     index = Q.build_keyword_index(chunks, stems, only_terms=asked)
     # an index is stored once and then read by every step of the search
-    return Q.KeywordIndex(cut_lineage(index.postings), cut_lineage(index.stats))
+    return Q.KeywordIndex(cut_lineage(index.postings), cut_lineage(index.stats), index.sessions)
 
 
 # Questions of a few words, for the modes in which every word must be present.
@@ -116,6 +116,13 @@ def _(spark, folder):
     return _hit_columns(keyword_hits(spark, folder, mode="any"))
 
 
+@registry.add("keyword_search_stored", f"WITH {X.SEARCH_REQUESTS}, {bm25_sql('search_requests', 'any')} SELECT {_HIT_COLUMNS} FROM keyword_hits")
+def _(spark, folder):
+    path = scratch_path(spark, "index")
+    Q.write_keyword_index(Q.build_keyword_index(X.chunks(spark, folder)), path)
+    return _hit_columns(Q.keyword_search(Q.read_keyword_index(spark, path), X.search_requests(spark, folder), mode="any"))
+
+
 @registry.add("keyword_search_by_session", f"WITH {X.SEARCH_REQUESTS}, {bm25_sql('search_requests', 'any', 'session')} SELECT {_HIT_COLUMNS} FROM keyword_hits")
 def _(spark, folder):
     # document frequencies per session need the full postings of that session
