@@ -378,16 +378,22 @@ def communities(
 
 # --- reports -------------------------------------------------------------------------------
 
+def _is_empty() -> Column:
+    return F.coalesce(F.col("properties")["length"] == "0", F.lit(False))
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame, partition: DataFrame | None = None) -> DataFrame:
     """Counts and density per session, for distinct texts and for documents.
 
     Document figures follow from the copy counts: copies of one text are all
-    linked to each other and to everything that text is linked to.
+    linked to each other and to everything that text is linked to. Copies of
+    the empty text aren't linked.
     """
     c = F.col("copies")
+    inner = F.when(_is_empty(), 0).otherwise(F.expr("copies * (copies - 1) div 2"))
     per_node = nodes.groupBy("session_id").agg(
         F.count("*").alias("total_nodes"), F.sum(c).alias("document_nodes"),
-        F.sum(F.expr("copies * (copies - 1) div 2")).alias("_inner"),
+        F.sum(inner).alias("_inner"),
     )
     per_edge = edges.groupBy("session_id").agg(
         F.count("*").alias("total_edges"), F.sum(F.col("src_copies") * F.col("dst_copies")).alias("_cross"),
@@ -439,6 +445,36 @@ def neighbors(edges: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     return arms if wanted is None else arms.join(wanted, ["session_id", "node"], "left_semi")
 
 
+def document_neighbors(nodes: DataFrame, edges: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Adjacent documents of (session_id, doc_id) rows, whichever copy is asked for.
+
+    ``members`` (session_id, doc_id, node_id) comes from ``copy_members``. A
+    neighbour is every copy of an adjacent text, and every other copy of the
+    document's own text unless that is empty.
+    """
+    asked = members.join(wanted.select("session_id", "doc_id").distinct(), ["session_id", "doc_id"], "left_semi").withColumnRenamed("node_id", "node")
+    peers = members.select("session_id", F.col("doc_id").alias("peer_doc"), F.col("node_id").alias("peer"))
+    adjacent = asked.join(neighbors(edges), ["session_id", "node"]).join(peers, ["session_id", "peer"])
+    empty = nodes.where(_is_empty()).select("session_id", F.col("id").alias("node"))
+    copies = (
+        asked.join(empty, ["session_id", "node"], "left_anti").join(peers.withColumnRenamed("peer", "node"), ["session_id", "node"]).where("doc_id <> peer_doc")
+        .select("session_id", "doc_id", F.col("peer_doc").alias("peer"), F.lit("same_text").alias("relationship"), F.lit("copy").alias("direction"))
+    )
+    return adjacent.select("session_id", "doc_id", F.col("peer_doc").alias("peer"), "relationship", "direction").unionByName(copies)
+
+
+def document_edge_lookup(edges: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The edge between the texts of two documents (session_id, a, b), whichever copies are asked for."""
+    def end(column: str, node: str) -> DataFrame:
+        return members.select("session_id", F.col("doc_id").alias(column), F.col("node_id").alias(node))
+
+    return (
+        wanted.select("session_id", "a", "b").distinct().join(end("a", "_a"), ["session_id", "a"]).join(end("b", "_b"), ["session_id", "b"])
+        .withColumns({"src": F.least("_a", "_b"), "dst": F.greatest("_a", "_b")})
+        .join(edges, ["session_id", "src", "dst"]).select("session_id", "a", "b", "relationship", "weight")
+    )
+
+
 def search_nodes(nodes: DataFrame, query: str, types: list[str] | None = None) -> DataFrame:
     """Nodes whose label or any property holds the text, whatever the case."""
     needle = query.lower()

@@ -245,7 +245,7 @@ _DOC_PAIRS = """doc_edges AS (SELECT session_id, sum(src_copies * dst_copies) AS
 @registry.add(
     "graph_stats",
     f"""WITH {_COMPONENTS}, docs_all AS (SELECT session_id, count(*) AS n FROM normed GROUP BY 1),
-    inner_pairs AS (SELECT a.session_id, count(*) AS c FROM normed a JOIN normed b ON a.session_id = b.session_id AND a.norm = b.norm AND a.doc_id < b.doc_id GROUP BY 1),
+    inner_pairs AS (SELECT a.session_id, count(*) AS c FROM normed a JOIN normed b ON a.session_id = b.session_id AND a.norm = b.norm AND a.doc_id < b.doc_id AND a.norm <> '' GROUP BY 1),
     outer_pairs AS (SELECT e.session_id, count(*) AS c FROM edges e JOIN texts x ON x.id = e.src JOIN texts y ON y.id = e.dst
       JOIN normed a ON a.session_id = e.session_id AND a.norm = x.norm JOIN normed b ON b.session_id = e.session_id AND b.norm = y.norm GROUP BY 1),
     per AS (SELECT t.session_id, count(*) AS total_nodes FROM texts t GROUP BY 1), pe AS (SELECT session_id, count(*) AS total_edges FROM edges GROUP BY 1),
@@ -292,6 +292,36 @@ def _(spark, folder):
     return GR.neighbors(edges, X.corpus(spark, folder).select("session_id", F.col("doc_id").alias("node")).join(good, "node", "left_semi"))
 
 
+_MEMBERS = f"{EDGES}, members AS (SELECT n.session_id, n.doc_id, t.id AS node_id, n.norm FROM normed n JOIN texts t ON t.session_id = n.session_id AND t.norm = n.norm)"
+
+
+@registry.add(
+    "document_neighbors",
+    f"""WITH {_MEMBERS}, arms AS (SELECT session_id, src AS node, dst AS peer, relationship, 'outgoing' AS direction FROM edges UNION ALL SELECT session_id, dst, src, relationship, 'incoming' FROM edges),
+    found AS (SELECT m.session_id, m.doc_id, p.doc_id AS peer, relationship, direction FROM members m JOIN arms a ON a.session_id = m.session_id AND a.node = m.node_id
+        JOIN members p ON p.session_id = m.session_id AND p.node_id = a.peer
+      UNION ALL SELECT m.session_id, m.doc_id, p.doc_id, 'same_text', 'copy' FROM members m JOIN members p ON p.session_id = m.session_id AND p.node_id = m.node_id AND p.doc_id <> m.doc_id WHERE m.norm <> '')
+    SELECT * FROM found WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
+)
+def _(spark, folder):
+    nodes, edges = graph_of(spark, folder)
+    good = X.table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    wanted = X.corpus(spark, folder).select("session_id", "doc_id").join(good, "doc_id", "left_semi")
+    return GR.document_neighbors(nodes, edges, H.copy_members(documents(spark, folder)), wanted)
+
+
+@registry.add(
+    "document_edge_lookup",
+    f"""WITH {_MEMBERS} SELECT x.session_id, x.doc_id AS a, y.doc_id AS b, relationship, round(weight, 6) AS weight
+    FROM members x JOIN members y ON y.session_id = x.session_id AND y.doc_id = x.doc_id + 20
+    JOIN edges e ON e.session_id = x.session_id AND e.src = least(x.node_id, y.node_id) AND e.dst = greatest(x.node_id, y.node_id)""",
+)
+def _(spark, folder):
+    wanted = X.corpus(spark, folder).select("session_id", F.col("doc_id").alias("a"), (F.col("doc_id") + 20).alias("b"))
+    found = GR.document_edge_lookup(graph_of(spark, folder)[1], H.copy_members(documents(spark, folder)), wanted)
+    return found.withColumn("weight", F.round("weight", 6))
+
+
 @registry.add("search_nodes", f"WITH {BASE} SELECT session_id, id, label FROM texts WHERE contains(lower(label), '_en_') OR contains(CAST(length(norm) AS VARCHAR), '_en_')")
 def _(spark, folder):
     return GR.search_nodes(graph_of(spark, folder)[0], "_EN_", ["document"]).select("session_id", "id", "label")
