@@ -6,12 +6,13 @@ whatever share of all rows a request, session or document has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire import fixed_values as V
 from quire.functions.text import content_hash, display_page, head, key_sentences, percent, truncate_sentences
 from quire.operators.search import top_k
+from quire.session import cut_lineage
 
 
 def _numbered(hits: DataFrame, limit: int, *columns: str) -> DataFrame:
@@ -112,13 +113,22 @@ def global_position(rows: DataFrame, order: str, bucket: Column) -> DataFrame:
     """0-based place of each row in the order of a key, without one global sort.
 
     ``bucket`` must not decrease as the key grows and hold a bounded number of
-    rows. Rows are numbered inside their bucket; only one count per bucket is
-    summed up across the whole table.
+    rows. Rows are numbered inside their bucket, buckets inside the range of
+    buckets that their partition holds; across the whole table only one total
+    per partition is summed up.
     """
     marked = rows.withColumn("_bucket", bucket)
     counts = marked.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    # stored, since the bounds of the ranges are sampled anew at each run
+    ranged = cut_lineage(counts.repartitionByRange("_bucket").withColumn("_part", F.spark_partition_id()))
+
+    def before(key: str, over: WindowSpec) -> Column:
+        return F.coalesce(F.sum(key).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    parts = ranged.groupBy("_part").agg(F.sum("_rows").alias("_total")).withColumn("_start", before("_total", Window.orderBy("_part")))
+    offsets = ranged.withColumn("_inner", before("_rows", Window.partitionBy("_part").orderBy("_bucket"))).join(parts, "_part").select(
+        "_bucket", (F.col("_start") + F.col("_inner")).alias("_offset")
+    )
     inside = Window.partitionBy("_bucket").orderBy(order)
     return (
         marked.withColumn("_at", F.row_number().over(inside) - 1).join(offsets, "_bucket")

@@ -420,16 +420,6 @@ def raw_level(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("raw_level", F.coalesce(numbering(t)["depth"], visual).cast("int"))
 
 
-def size_level(size: Column, bold: Column, avg: Column, top: Column) -> Column:
-    """Level by size alone."""
-    ratio = size / avg
-    return (
-        F.when((ratio >= 1.4) | (size >= top * 0.9), 1).when(ratio >= 1.25, 2)
-        .when(ratio >= 1.15, F.when(bold, 3).otherwise(4))
-        .when((ratio >= 1.08) & bold, 3).otherwise(4)
-    )
-
-
 def spatial_headings(lines: DataFrame) -> DataFrame:
     """Lines set apart above more than below and followed by body text."""
     t = F.col("t")

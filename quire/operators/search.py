@@ -360,15 +360,6 @@ def semantic_search(
     return top_k(semantic_scores(vectors, queries, k, tile_rows), "query_id", best_first(), k)
 
 
-def check_dimensions(vectors: DataFrame) -> DataFrame:
-    """Sessions whose vectors differ in length; empty when all is well."""
-    return (
-        vectors.groupBy("session_id")
-        .agg(F.min(F.size("embedding")).alias("smallest"), F.max(F.size("embedding")).alias("largest"))
-        .where("smallest <> largest")
-    )
-
-
 def index_stats(sessions: DataFrame, vectors: DataFrame) -> DataFrame:
     """Vector count and dimension per session; zero where there is no index."""
     built = vectors.groupBy("session_id").agg(

@@ -271,8 +271,6 @@ def _(spark, folder):
     )
 
 
-_BATCH_SQL = f"""CASE WHEN turn % 2 = 0 THEN '["' || {_SAFE} || '","second","third"]' ELSE text END"""
-
 
 @registry.add(
     "explode_batch_response",
