@@ -198,6 +198,31 @@ def pair_cosine(vectors: DataFrame, floor: float = V.COSINE_FLOOR, tile_rows: in
     return _tile_pairs(vectors, tile_rows).groupBy("session_id", "lo", "hi").applyInPandas(survivors, schema)
 
 
+def pair_similarity_vectors(nodes: DataFrame, vectors: DataFrame, floor: float = V.MIN_EDGE_SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The blended similarity with supplied vectors: 0.6 cosine + 0.3 word overlap + 0.1 length ratio.
+
+    ``vectors`` (session_id, doc_id, embedding) has a row for each node; nodes
+    without one get no pair. Overlap and length ratio are at most 1, so the texts
+    are fetched only for pairs whose cosine can still reach ``floor``.
+    """
+    least = (floor - V.JACCARD_WEIGHT - V.LENGTH_WEIGHT) / V.COSINE_WEIGHT
+    own = vectors.join(nodes.select("session_id", F.col("id").alias("doc_id")), ["session_id", "doc_id"], "left_semi")
+    close = cut_lineage(pair_cosine(own, least - 1e-9, tile_rows))
+
+    def end(id_: str, prefix: str) -> DataFrame:
+        return nodes.select(
+            "session_id", F.col("id").alias(id_), F.col("label").alias(f"{prefix}_label"), F.col("copies").alias(f"{prefix}_copies"), F.col("text").alias(f"_{prefix}"),
+        )
+
+    pairs = close.join(end("src", "src"), ["session_id", "src"]).join(end("dst", "dst"), ["session_id", "dst"])
+    scored = pairs.select(
+        "session_id", "src", "dst", "src_label", "dst_label", "src_copies", "dst_copies", "cosine",
+        jaccard_words(words("_src"), words("_dst")).alias("jaccard"), length_ratio(F.length("_src"), F.length("_dst")).alias("length_ratio"),
+    )
+    blended = _bound(F.col("cosine"), F.col("jaccard"), F.col("length_ratio"))
+    return scored.withColumn("similarity", blended).where(F.col("similarity") >= floor - 1e-12)
+
+
 def similarity_stats(vectors: DataFrame, floor: float = V.COSINE_FLOOR, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Mean, max and min cosine over all pairs of a session, low ones as 0.
 
@@ -278,15 +303,18 @@ def classify_edges_simple(pairs: DataFrame, threshold: float = V.RELATED_TO, sco
     return pairs.where(s > threshold).withColumn("relationship", band)
 
 
-def build_edges(nodes: DataFrame, user_threshold: float | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+def build_edges(nodes: DataFrame, user_threshold: float | None = None, tile_rows: int = TILE_ROWS, vectors: DataFrame | None = None) -> DataFrame:
     """Classified and filtered edges with a sentence on each.
 
+    With ``vectors`` their cosine takes the place of that of term counts.
+
     The pair search starts at the lowest similarity that can become an edge:
     the band floor, or the user's threshold where the two upper bands are
     above it anyway.
     """
     lowest = min(related_threshold(user_threshold), V.SIMILAR_TO) - V.TOLERANCE
-    pairs = pair_similarity(nodes, max(lowest, V.MIN_EDGE_SIMILARITY), tile_rows)
+    lowest = max(lowest, V.MIN_EDGE_SIMILARITY)
+    pairs = pair_similarity(nodes, lowest, tile_rows) if vectors is None else pair_similarity_vectors(nodes, vectors, lowest, tile_rows)
     edges = edge_quality_filter(classify_edges(pairs, user_threshold))
     return edges.withColumn("weight", F.col("similarity")).withColumn(
         "summary", pair_summary("src_label", "dst_label", "similarity", "relationship")

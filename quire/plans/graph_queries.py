@@ -84,6 +84,25 @@ _COS = f"""{X.VECTORS}, cosines AS (SELECT a.session_id, a.doc_id AS src, b.doc_
   FROM vectors a JOIN vectors b ON a.session_id = b.session_id AND a.doc_id < b.doc_id)"""
 
 
+# Below the lowest edge band: no pair of the supplied vectors reaches more than 0.36.
+_BLEND_FLOOR = 0.2
+
+
+@registry.add(
+    "pair_similarity_vectors",
+    f"""WITH {_COS}, {BASE.replace(X.CORPUS + ', ', '', 1)}, blended AS (SELECT c.session_id, src, dst, cosine, {S.jaccard_lists(S.words('x.norm'), S.words('y.norm'))} AS jaccard,
+      least(length(x.norm), length(y.norm))::DOUBLE / greatest(length(x.norm), length(y.norm)) AS length_ratio
+      FROM cosines c JOIN texts x ON x.id = src JOIN texts y ON y.id = dst WHERE x.norm <> '' AND y.norm <> '')
+    SELECT session_id, src, dst, round(cosine, 6) AS cosine, round(jaccard, 6) AS jaccard, round(length_ratio, 6) AS length_ratio,
+      round(0.6::DOUBLE * cosine + 0.3::DOUBLE * jaccard + 0.1::DOUBLE * length_ratio, 6) AS similarity
+    FROM blended WHERE 0.6::DOUBLE * cosine + 0.3::DOUBLE * jaccard + 0.1::DOUBLE * length_ratio >= {_BLEND_FLOOR}""",
+)
+def _(spark, folder):
+    nodes = H.distinct_texts(documents(spark, folder)).where("text <> ''")
+    p = H.pair_similarity_vectors(nodes, X.vectors(spark, folder), _BLEND_FLOOR)
+    return p.select("session_id", "src", "dst", *[F.round(c, 6).alias(c) for c in ["cosine", "jaccard", "length_ratio", "similarity"]])
+
+
 @registry.add("pair_cosine", f"WITH {_COS} SELECT session_id, src, dst, round(cosine, 6) AS cosine FROM cosines WHERE cosine >= 0.1")
 def _(spark, folder):
     return H.pair_cosine(X.vectors(spark, folder)).withColumn("cosine", F.round("cosine", 6))

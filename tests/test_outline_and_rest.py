@@ -102,3 +102,17 @@ def test_stream_equals_table(spark, tmp_path):
     # nothing is ingested twice
     J.stream_ingest(J.read_stream(spark, str(tmp_path / "in"), docs.schema), out, 200, 20).awaitTermination()
     assert spark.read.parquet(f"{out}/data").count() == want.count()
+
+
+def test_requests_pass_once_per_time_to_live_across_batches(spark, tmp_path):
+    import datetime as dt
+
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    batches = [[("a", day(0)), ("a", day(3)), ("b", day(1))], [("a", day(7)), ("a", day(13)), ("b", day(6))], [("a", day(14)), ("b", day(20))]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "content string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"b={n}"))
+    stream = spark.readStream.schema("content string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = scratch_path(spark, "test")
+    J.stream_dedupe_requests(stream, out).awaitTermination()
+    got = sorted((r["content"], r["ts"]) for r in spark.read.parquet(f"{out}/data").select("content", "ts").collect())
+    assert got == [("a", day(0)), ("a", day(7)), ("a", day(14)), ("b", day(1)), ("b", day(20))]
