@@ -93,30 +93,36 @@ def shortest_paths(edges: DataFrame, distance: str = "weight", sources: DataFram
         seen = mark
 
 
-def closeness_centrality(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """Inverse mean distance, scaled by the share of the session reached."""
+def closeness_centrality(nodes: DataFrame, paths: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Inverse mean distance, scaled by the share of the session reached.
+
+    Give the ``sources`` that the paths were limited to: other nodes get null.
+    """
+    value = F.when(
+        (F.col("total") > 0) & (F.col("n") > 1),
+        (F.col("reach") / F.col("total")) * (F.col("reach") / (F.col("n") - 1)),
+    ).otherwise(0.0)
+    asked = nodes.select("session_id", F.col("id").alias("node"))
+    if sources is not None:
+        known = sources.select("session_id", "node", F.lit(True).alias("asked")).distinct()
+        asked, value = asked.join(known, ["session_id", "node"], "left"), F.when(F.col("asked"), value)
     reached = paths.groupBy("session_id", F.col("source").alias("node")).agg(
         (F.count("*") - 1).alias("reach"), F.sum("dist").alias("total")
     )
     return (
-        nodes.select("session_id", F.col("id").alias("node"))
-        .join(session_sizes(nodes), "session_id")
-        .join(reached, ["session_id", "node"], "left")
-        .select(
-            "session_id", "node",
-            F.when(
-                (F.col("total") > 0) & (F.col("n") > 1),
-                (F.col("reach") / F.col("total")) * (F.col("reach") / (F.col("n") - 1)),
-            ).otherwise(0.0).alias("closeness"),
-        )
+        asked.join(session_sizes(nodes), "session_id").join(reached, ["session_id", "node"], "left")
+        .select("session_id", "node", value.alias("closeness"))
     )
 
 
 def betweenness_centrality(
-    nodes: DataFrame, edges: DataFrame, paths: DataFrame, distance: str = "weight"
+    nodes: DataFrame, edges: DataFrame, paths: DataFrame, distance: str = "weight", sources: DataFrame | None = None
 ) -> DataFrame:
     """Share of shortest paths through each node, scaled to the session.
 
+    Give the ``sources`` that the paths were limited to: the sums are scaled up
+    to all nodes of the session, an estimate then.
+
     Dependencies flow back from far nodes to near ones along the edges that
     lie on shortest paths from one source; no triple of nodes is ever formed.
     """
@@ -145,13 +151,17 @@ def betweenness_centrality(
         state.where("source <> peer").groupBy("session_id", F.col("peer").alias("node"))
         .agg(F.sum("flow").alias("flow"))
     )
+    sizes, scale = session_sizes(nodes), F.lit(1.0)
+    if sources is not None:
+        picked = sources.select("session_id", "node").distinct().groupBy("session_id").agg(F.count("*").alias("k"))
+        sizes, scale = sizes.join(picked, "session_id", "left"), F.col("n") / F.col("k")
     return (
         nodes.select("session_id", F.col("id").alias("node"))
-        .join(session_sizes(nodes), "session_id")
+        .join(sizes, "session_id")
         .join(through, ["session_id", "node"], "left")
         .select(
             "session_id", "node",
-            F.when(F.col("n") > 2, F.coalesce("flow", F.lit(0.0)) / ((F.col("n") - 1) * (F.col("n") - 2)))
+            F.when(F.col("n") > 2, scale * F.coalesce("flow", F.lit(0.0)) / ((F.col("n") - 1) * (F.col("n") - 2)))
             .otherwise(0.0).alias("betweenness"),
         )
     )

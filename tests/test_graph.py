@@ -150,3 +150,15 @@ def test_no_node_gains_by_moving_once_a_level_has_settled(spark):
         return sum(w for _, a, b, w in rows if a == node and b != node and of[b] == target) - strength[node] * mass / total
 
     assert all(gain(n, t) <= gain(n, of[n]) + 1e-6 for n in of for t in set(of.values()))
+
+
+def test_measures_of_chosen_sources(spark, small):
+    nodes, edges, ids, _ = small
+    few = spark.createDataFrame([("s", 2), ("s", 3)], "session_id string, node long")
+    whole = values(GR.closeness_centrality(nodes, GR.shortest_paths(edges)), "closeness")
+    paths = GR.shortest_paths(edges, sources=few)
+    part = values(GR.closeness_centrality(nodes, paths, few), "closeness")
+    assert {i: v for i, v in part.items() if v is not None} == {i: whole[i] for i in (2, 3)}
+    once = values(GR.betweenness_centrality(nodes, edges, paths), "betweenness")
+    scaled = values(GR.betweenness_centrality(nodes, edges, paths, sources=few), "betweenness")
+    assert scaled == pytest.approx({i: v * len(ids) / 2 for i, v in once.items()})
