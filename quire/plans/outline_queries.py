@@ -460,11 +460,36 @@ def outline_documents(spark, folder):
     return outline_rows_to_documents(rows, L.title_by_font(X.lines(spark, folder)))
 
 
-@registry.add("outline_shape", f"WITH {_BY_FONT} SELECT doc_id, string_agg('H' || level || '|' || text || '|' || (page + 1), chr(10) ORDER BY page, line_no) AS entries FROM by_font GROUP BY 1")
+# Documents labelled toxic stand for those that could not be processed.
+def _shape_sql(first: int) -> str:
+    return f"""WITH {_BY_FONT}, failed AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+    listed AS (SELECT doc_id, string_agg('H' || level || '|' || text || '|' || (page + {first}), chr(10) ORDER BY page, line_no) AS entries FROM by_font GROUP BY 1)
+    SELECT d.doc_id, CASE WHEN f.doc_id IS NULL THEN coalesce(entries, '') ELSE '' END AS entries, CASE WHEN f.doc_id IS NOT NULL THEN 'Processing failed' END AS error
+    FROM documents d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN failed f ON f.doc_id = d.doc_id"""
+
+
+def shaped(spark, folder, shape, name, page):
+    failed = X.table(spark, folder, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("failed")).distinct()
+    found = outline_documents(spark, folder)
+    none = F.array().cast(found.schema["outline"].dataType)
+    docs = X.table(spark, folder, "documents").select("doc_id").join(found, "doc_id", "left").join(failed, "doc_id", "left").withColumns({
+        "success": F.col("failed").isNull(), "error": F.when(F.col("failed"), "Processing failed"),
+        "outline": F.when(F.col("failed").isNull(), F.coalesce("outline", none)).otherwise(none),
+    })
+    entry = lambda h: F.concat_ws("|", h["level"], h[name], h[page].cast("string"))
+    return L.outline_shape(docs, shape).select("doc_id", F.array_join(F.transform("outline", entry), "\n").alias("entries"), "error")
+
+
+@registry.add("outline_shape", _shape_sql(1))
 def _(spark, folder):
-    docs = outline_documents(spark, folder).withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})
-    shaped = L.outline_shape(docs, "legacy").where(F.size("outline") > 0)
-    return shaped.select(
-        "doc_id",
-        F.array_join(F.transform("outline", lambda h: F.concat_ws("|", h["level"], h["text"], h["page"].cast("string"))), "\n").alias("entries"),
-    )
+    return shaped(spark, folder, "legacy", "text", "page")
+
+
+@registry.add("outline_shape_plain", _shape_sql(0))
+def _(spark, folder):
+    return shaped(spark, folder, "plain", "title", "page_number")
+
+
+@registry.add("outline_shape_display", _shape_sql(1))
+def _(spark, folder):
+    return shaped(spark, folder, "display", "title", "page_number")

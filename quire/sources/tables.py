@@ -74,7 +74,7 @@ def load_corpus(spark: SparkSession, folder: str, session_id: str | None = None)
     return chunks.orderBy("doc_id", "chunk_index")
 
 
-def write_chunks(chunks: DataFrame, folder: str, mode: str = "append", buckets: int = 1) -> None:
+def write_chunks(chunks: DataFrame, folder: str, mode: str = "append", buckets: int = 8) -> None:
     """Store chunks by session.
 
     ``buckets`` spreads one session over that many writers (by document), so
