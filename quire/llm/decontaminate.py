@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import IdBits, map_batches, shingle_hashes, texts_of, word_hashes
 from quire.session import cut_lineage
 
-LEAST, COVERAGE = 4, 0.6
+LEAST, COVERAGE = 4, 0.5
 
 
 def _runs(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
