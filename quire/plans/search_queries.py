@@ -30,14 +30,17 @@ def index_for(spark, folder, queries, stems=None):
     return Q.KeywordIndex(cut_lineage(index.postings), cut_lineage(index.stats), index.sessions)
 
 
-# Questions of a few words, for the modes in which every word must be present.
-SHORT = f"""{X.SEARCH_REQUESTS}, short_requests AS (SELECT * REPLACE (array_to_string({S.tokens('query_text')}[1:2], ' ') AS query_text) FROM search_requests)"""
+# Each question two words at a time, for the modes in which every word must be present.
+SHORT = f"""{X.SEARCH_REQUESTS}, short_requests AS (SELECT * EXCLUDE (toks, i) REPLACE (query_id * 1000 + i // 2 AS query_id, array_to_string(toks[i + 1:i + 2], ' ') AS query_text)
+  FROM (SELECT *, unnest(range(0, len(toks), 2)) AS i FROM (SELECT *, {S.tokens('query_text')} AS toks FROM search_requests)))"""
 
 
 def short_requests(spark, folder):
-    return X.search_requests(spark, folder).withColumn(
-        "query_text", F.array_join(F.slice(Q.tokens(F.col("query_text")), 1, 2), " ")
-    )
+    toks = X.search_requests(spark, folder).withColumn("_toks", Q.tokens(F.col("query_text"))).where("size(_toks) > 0")
+    parts = toks.withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_toks") - 1, F.lit(2))))
+    return parts.withColumns({
+        "query_id": F.col("query_id") * 1000 + F.expr("_i div 2"), "query_text": F.array_join(F.slice("_toks", F.col("_i") + 1, F.lit(2)), " "),
+    }).drop("_toks", "_i")
 
 
 POSTINGS = f"""{X.CHUNKS}, lexed AS (SELECT session_id, doc_id, chunk_id, {S.tokens('content')} AS toks FROM chunks),
@@ -101,8 +104,8 @@ def _hit_columns(df):
     )
 
 
-def keyword_hits(spark, folder, mode="any", **options):
-    asked = short_requests(spark, folder) if mode == "all" else X.search_requests(spark, folder)
+def keyword_hits(spark, folder, mode="any", whole=False, **options):
+    asked = short_requests(spark, folder) if mode == "all" and not whole else X.search_requests(spark, folder)
     return Q.keyword_search(index_for(spark, folder, asked), asked, mode=mode, **options)
 
 
@@ -192,8 +195,8 @@ def _(spark, folder):
 # The first two words of each question, next to each other.
 @registry.add(
     "match_phrase",
-    f"""WITH {X.SEARCH_REQUESTS}, {X.CHUNKS}, t AS (SELECT session_id, chunk_id, ' ' || array_to_string({S.tokens('content')}, ' ') || ' ' AS body FROM chunks)
-    SELECT w.query_id, t.chunk_id FROM (SELECT query_id, session_id, ' ' || array_to_string({S.tokens('query_text')}[1:2], ' ') || ' ' AS phrase FROM search_requests) w
+    f"""WITH {SHORT}, {X.CHUNKS}, t AS (SELECT session_id, chunk_id, ' ' || array_to_string({S.tokens('content')}, ' ') || ' ' AS body FROM chunks)
+    SELECT w.query_id, t.chunk_id FROM (SELECT query_id, session_id, ' ' || query_text || ' ' AS phrase FROM short_requests) w
     JOIN t ON t.session_id = w.session_id AND contains(t.body, w.phrase)""",
 )
 def _(spark, folder):
@@ -256,13 +259,13 @@ def _(spark, folder):
 
 @registry.add(
     "search_with_fallback",
-    f"""WITH {SEMANTIC}, {SHORT.replace(X.SEARCH_REQUESTS + ', ', '', 1)}, {bm25_sql('short_requests', 'all').replace(f'{X.CORPUS}, ', '', 1)}
+    f"""WITH {SEMANTIC}, {bm25_sql('search_requests', 'all').replace(f'{X.CORPUS}, ', '', 1)}
     SELECT query_id, chunk_id, rank, round(score, 5) AS score, 'keyword' AS method FROM keyword_hits
     UNION ALL SELECT query_id, chunk_id, rank, round(score, 5), 'semantic' FROM semantic_hits WHERE query_id NOT IN (SELECT query_id FROM keyword_hits)""",
 )
 def _(spark, folder):
     merged = Q.search_with_fallback(
-        keyword_hits(spark, folder, mode="all"), semantic_hits(spark, folder), ("keyword", "semantic")
+        keyword_hits(spark, folder, mode="all", whole=True), semantic_hits(spark, folder), ("keyword", "semantic")
     )
     return merged.select("query_id", "chunk_id", big("rank").alias("rank"), F.round("score", 5).alias("score"), "method")
 
