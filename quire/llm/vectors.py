@@ -24,51 +24,50 @@ from quire.llm.common import components, forest, map_batches
 from quire.session import cut_lineage
 
 #: Vectors per pivot, most pivots (they are broadcast: 4096 of 1024 dimensions are 32 MB), rows of a tile's side.
-PER_PIVOT, MOST_PIVOTS, TILE = 4096, 4096, 4096
+PER_PIVOT, MOST_PIVOTS, TILE = 8192, 4096, 8192
 #: Names above this stand for vectors whose rows have no vec_id.
 NAMELESS = 0x6000000000000000
 #: Room for rounding in the bounds; the comparison itself is exact in double precision.
 SLACK = 1e-6
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(r, "<f8") for r in raw])
+def _units(raw: list[bytes], width: str) -> np.ndarray:
+    """Packed vectors as doubles of length 1; the largest component comes out first, so no square over- or underflows."""
+    x = np.stack([np.frombuffer(r, width) for r in raw]).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def distinct_vectors(rows: DataFrame, vector: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """All rows (id, key) and the distinct usable vectors (key, vec_id: smallest, copies, dim, raw: packed doubles).
+def distinct_vectors(rows: DataFrame, vector: str, name: str, width: str) -> tuple[DataFrame, DataFrame]:
+    """All rows (id, key) and the distinct usable vectors (key, vec_id: smallest, copies, dim, raw: packed as ``width``).
 
-    The key is the SHA-256 of the packed vector; rows whose vector is null, empty,
+    The key is the SHA-256 of the packed vector (in its own precision); rows whose vector is null, empty,
     zero, or holds a null or non-finite component have none.
     """
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw = []
         for v in batch.column("_vector").to_pylist():
-            x = np.array([np.nan if c is None else c for c in v], float) if v else np.zeros(0)
-            with np.errstate(over="ignore"):
-                usable = len(x) and np.isfinite(x).all() and x.any()
-            if usable:
-                x = x / np.abs(x).max()  # no overflow or underflow of the squares
-                x = x + 0.0  # no negative zero
-            raw.append(x.astype("<f8").tobytes() if usable else None)
+            x = np.array([np.nan if c is None else c for c in v], width) if v else np.zeros(0)
+            usable = len(x) and np.isfinite(x).all() and x.any()
+            raw.append((x + 0).astype(width).tobytes() if usable else None)  # + 0: no negative zero
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
 
     packed = map_batches(
-        rows.select(F.col(name).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("_vector")), pack, "vec_id bigint, raw binary",
-    ).withColumn("key", F.sha2("raw", 256))
+        rows.select(F.col(name).cast("bigint").alias("vec_id"), F.col(vector).alias("_vector")), pack, "vec_id bigint, raw binary",
+    ).withColumn("key", F.unhex(F.sha2("raw", 256)))
     packed = cut_lineage(packed)
     groups = packed.where("key is not null").groupBy("key").agg(
-        F.coalesce(F.min("vec_id"), F.pmod(F.xxhash64("key"), F.lit(1 << 60)) + NAMELESS).alias("vec_id"), F.count("*").alias("copies"), F.first("raw").alias("raw"), F.first(F.length("raw") / 8).cast("int").alias("dim"),
+        F.coalesce(F.min("vec_id"), F.pmod(F.xxhash64("key"), F.lit(1 << 60)) + NAMELESS).alias("vec_id"), F.count("*").alias("copies"),
+        F.first("raw").alias("raw"), F.first(F.length("raw") / np.dtype(width).itemsize).cast("int").alias("dim"),
     )
     return packed.select("vec_id", "key"), cut_lineage(groups)
 
 
-def _pivots(vectors: DataFrame, wanted: int) -> dict[int, np.ndarray]:
+def _pivots(vectors: DataFrame, wanted: int, width: str) -> dict[int, np.ndarray]:
     """The vectors with the smallest keys, by their number of components: at most ``wanted``."""
     taken = vectors.orderBy("key").limit(wanted).select("dim", "raw").collect()
-    return {d: _units([bytes(r["raw"]) for r in taken if r["dim"] == d]) for d in sorted({r["dim"] for r in taken})}
+    return {d: _units([bytes(r["raw"]) for r in taken if r["dim"] == d], width) for d in sorted({r["dim"] for r in taken})}
 
 
 def _homes(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +76,7 @@ def _homes(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return square.argmin(axis=1), square
 
 
-def _assign(vectors: DataFrame, pivots: dict[int, np.ndarray], reach: float) -> DataFrame:
+def _assign(vectors: DataFrame, pivots: dict[int, np.ndarray], reach: float, width: str) -> DataFrame:
     """(dim, cell, home, key, raw): every vector in its own cell and, as far as the bounds ask, in others."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
@@ -87,7 +86,7 @@ def _assign(vectors: DataFrame, pivots: dict[int, np.ndarray], reach: float) ->
         for d in np.unique(dims):
             if d in shared.value:
                 rows = batch.filter(pa.array(dims == d))
-                home, square = _homes(_units(rows.column("raw").to_pylist()), shared.value[d])
+                home, square = _homes(_units(rows.column("raw").to_pylist(), width), shared.value[d])
                 far = np.sqrt(square[np.arange(len(home)), home])
                 out += [{"dim": int(d), "cell": int(c), "radius": float(far[home == c].max())} for c in np.unique(home)]
         yield from pa.Table.from_pylist(out, schema=pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("radius", pa.float64())])).to_batches()
@@ -105,7 +104,7 @@ def _assign(vectors: DataFrame, pivots: dict[int, np.ndarray], reach: float) ->
             n = rows.num_rows
             if d in shared.value:
                 p = shared.value[d]
-                home, square = _homes(_units(rows.column("raw").to_pylist()), p)
+                home, square = _homes(_units(rows.column("raw").to_pylist(), width), p)
                 apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 1e-12))
                 plane = (square - square[np.arange(n), home][:, None]) / (2 * apart[home])
                 near = (plane <= reach + SLACK) & (np.sqrt(square) <= widest[d][None, :] + reach + SLACK)
@@ -119,10 +118,10 @@ def _assign(vectors: DataFrame, pivots: dict[int, np.ndarray], reach: float) ->
                 names=["dim", "cell", "home", "key", "vec_id", "copies", "raw"],
             )
 
-    return map_batches(vectors.select("dim", "key", "vec_id", "copies", "raw"), place, "dim int, cell int, home boolean, key string, vec_id bigint, copies bigint, raw binary")
+    return map_batches(vectors.select("dim", "key", "vec_id", "copies", "raw"), place, "dim int, cell int, home boolean, key binary, vec_id bigint, copies bigint, raw binary")
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, width: str):
     """One tile: its own members (side 0) against members (side 1).
 
     Gives the copies linked per own member (key, n_links), and a spanning forest of
@@ -134,7 +133,7 @@ def _compare(cosine: float):
         n_links = np.zeros(len(own), np.int64)
         a = b = np.zeros(0, np.int64)
         if len(own) and len(other):
-            x, y = _units(own["raw"].tolist()), _units(other["raw"].tolist())
+            x, y = _units(own["raw"].tolist(), width), _units(other["raw"].tolist(), width)
             copies = other["copies"].to_numpy()
             keys, at = np.unique(np.concatenate([own["key"].to_numpy(), other["key"].to_numpy()]), return_inverse=True)
             name = np.zeros(len(keys), np.int64)
@@ -172,11 +171,12 @@ def link_vectors(rows: DataFrame, cosine: float = 0.9, vector: str = "embedding"
     Where vectors are far from each other in many dimensions the bounds prune
     little and the tiles compare nearly all pairs.
     """
-    packed, vectors = distinct_vectors(rows, vector, name)
+    width = "<f4" if rows.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
+    packed, vectors = distinct_vectors(rows, vector, name, width)
     n = vectors.count()
     reach = float(np.sqrt(max(2 - 2 * cosine, 0)))
-    pivots = _pivots(vectors, min(MOST_PIVOTS, max(1, -(-n // per_pivot))))
-    placed = cut_lineage(_assign(vectors, pivots, reach))
+    pivots = _pivots(vectors, min(MOST_PIVOTS, max(1, -(-n // per_pivot))), width)
+    placed = cut_lineage(_assign(vectors, pivots, reach, width))
     counts = placed.groupBy("dim", "cell").agg(
         F.ceil(F.count_if("home") / tile).cast("int").alias("own_tiles"), F.ceil(F.count("*") / tile).cast("int").alias("all_tiles"),
     )
@@ -189,7 +189,7 @@ def link_vectors(rows: DataFrame, cosine: float = 0.9, vector: str = "embedding"
         "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("own_tiles") - 1)).alias("t1"), F.pmod("_h", "all_tiles").cast("int").alias("t2"), F.lit(1).alias("side"), *columns,
     )
     tiles = cut_lineage(
-        own.union(others).groupBy("dim", "cell", "t1", "t2").applyInPandas(_compare(cosine), "key string, n_links bigint, a bigint, b bigint")
+        own.union(others).groupBy("dim", "cell", "t1", "t2").applyInPandas(_compare(cosine, width), "key binary, n_links bigint, a bigint, b bigint")
     )
     links = tiles.where("key is not null").groupBy("key").agg(F.sum("n_links").alias("linked"))
     found = components(tiles.where("a <> b").select("a", "b"))
