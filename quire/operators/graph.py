@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed_values as V
 from quire.operators.search import top_k
-from quire.session import cut_lineage
+from quire.session import cut_lineage, discard
 
 PLACES = 9
 POWER_STEPS = 8
@@ -81,12 +81,13 @@ def shortest_paths(edges: DataFrame, distance: str = "weight", sources: DataFram
                 F.round(F.col("dist") + F.col("step"), PLACES).alias("dist"), "paths",
             )
         )
-        state = cut_lineage(
+        before, state = state, cut_lineage(
             extended.groupBy("session_id", "source", "node", "dist").agg(F.sum("paths").alias("paths"))
             .groupBy("session_id", "source", "node")
             .agg(F.min("dist").alias("dist"), F.min_by("paths", "dist").alias("paths"))
             .unionByName(start)
         )
+        discard(before)
         mark = _fingerprint(state, "session_id", "source", "node", "dist", "paths")
         if mark == seen:
             return state
@@ -138,11 +139,12 @@ def betweenness_centrality(
     state = tight.select("session_id", "source", F.col("node").alias("peer"), F.lit(0.0).alias("flow")).limit(0)
     seen = None
     while True:
-        state = cut_lineage(
+        before, state = state, cut_lineage(
             tight.join(state, ["session_id", "source", "peer"], "left")
             .groupBy("session_id", "source", F.col("node").alias("peer"))
             .agg(F.sum(F.col("share") * (1 + F.coalesce("flow", F.lit(0.0)))).alias("flow"))
         )
+        discard(before)
         mark = _fingerprint(state, "session_id", "source", "peer", F.round("flow", 6))
         if mark == seen:
             break
@@ -178,7 +180,7 @@ def eigenvector_centrality(nodes: DataFrame, edges: DataFrame, max_rounds: int =
     itself = base.select("session_id", "node", F.col("node").alias("peer"), F.lit(1.0).alias("weight"))
     step = cut_lineage(links.unionByName(itself))
     sizes = base.groupBy("session_id").agg(F.count("*").alias("n"))
-    state = cut_lineage(base.join(sizes, "session_id").select("session_id", "node", "n", (1.0 / F.col("n")).alias("x")))
+    state = stored = cut_lineage(base.join(sizes, "session_id").select("session_id", "node", "n", (1.0 / F.col("n")).alias("x")))
 
     def advance(rows: DataFrame) -> DataFrame:
         return (
@@ -197,9 +199,10 @@ def eigenvector_centrality(nodes: DataFrame, edges: DataFrame, max_rounds: int =
         for _ in range(POWER_STEPS - 1):
             rows = advance(rows)
         before = cut_lineage(rows)
-        one = unit(before, "was")
-        two = unit(cut_lineage(advance(before)), "x")
-        state = cut_lineage(one.join(two.drop("n"), ["session_id", "node"]))
+        after = cut_lineage(advance(before))
+        state = cut_lineage(unit(before, "was").join(unit(after, "x").drop("n"), ["session_id", "node"]))
+        discard(stored, before, after)
+        stored = state
         rounds += POWER_STEPS
         open_sessions = (
             state.groupBy("session_id").agg(F.sum(F.abs(F.col("x") - F.col("was"))).alias("change"), F.max("n").alias("n"))
@@ -257,7 +260,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         small = joined.where("v <> m").select("session_id", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             joined.select("session_id", "u", F.col("m").alias("v"))
         )
-        pairs = cut_lineage(small.distinct())
+        before, pairs = pairs, cut_lineage(small.distinct())
+        discard(before)
         mark = _fingerprint(pairs, "session_id", "u", "v")
         if mark == seen:
             break
@@ -312,7 +316,7 @@ def _local_moves(links: DataFrame) -> DataFrame:
     strength = links.groupBy(*scope, "node").agg(F.sum("weight").alias("k"))
     total = strength.groupBy(*scope).agg(F.sum("k").alias("m2"))
     fixed = cut_lineage(strength.join(total, scope))
-    state = cut_lineage(fixed.withColumn("community", F.col("node")))
+    state = stored = cut_lineage(fixed.withColumn("community", F.col("node")))
     apart = links.where("node <> peer")
     number = 0
     while True:
@@ -335,13 +339,14 @@ def _local_moves(links: DataFrame) -> DataFrame:
             )
         )
         may_move = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2 + number // 8)) == 0
-        moved = cut_lineage(state.join(best, [*scope, "node"]).withColumn("gains", F.col("top") > F.col("stay")))
+        before, moved = stored, cut_lineage(state.join(best, [*scope, "node"]).withColumn("gains", F.col("top") > F.col("stay")))
+        discard(before)
+        stored = moved
         if moved.where("gains").isEmpty():
-            break
+            return moved.select(*scope, "node", "community")
         new = F.when(may_move & F.col("gains"), F.col("best")).otherwise(F.col("community"))
         state = moved.select(*scope, "node", "k", "m2", new.alias("community"))
         number += 1
-    return state.select(*scope, "node", "community")
 
 
 def communities(
