@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import cut_lineage
+from quire.session import cut_lineage, discard
 
 #: Bytes of text hashed at a time: bounds the work arrays whatever the length of a text.
 CHUNK = 1 << 21
@@ -173,7 +173,7 @@ def components(links: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the longest shortest path.
     """
     both = cut_lineage(links.select("a", "b").where("a <> b").union(links.select("b", "a").where("a <> b")).distinct())
-    state = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
+    state = stored = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
     while True:
         near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         jump = state.select(F.col("node").alias("component"), F.col("component").alias("further"))
@@ -182,9 +182,11 @@ def components(links: DataFrame) -> DataFrame:
                 "node", F.least("component", "near", "further").alias("component"), F.col("component").alias("before"),
             )
         )
+        discard(stored)
+        state, stored = step.select("node", "component"), step
         if step.where("component <> before").isEmpty():
-            return step.select("node", "component")
-        state = step.select("node", "component")
+            discard(both)
+            return state
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
