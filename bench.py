@@ -18,7 +18,7 @@ HEADLINE = [
     "normalize_text", "chunk_recursive", "build_keyword_index", "keyword_search", "keyword_search_any",
     "semantic_search", "hybrid_search", "persona_sections", "budget_pack", "strategic_content",
     "pair_similarity", "pair_cosine", "similarity_stats", "outline", "outline_scores",
-    "match_document_names", "stream_ingest", "connected_components", "communities", "build_graph",
+    "match_document_names", "stream_ingest", "connected_components",
 ]
 
 
