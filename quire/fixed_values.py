@@ -1,9 +1,12 @@
 """Values that must equal the published behaviour for results to agree.
 
-Fixed values: word lists, thresholds, weights and limits. Nothing here is
-derived; the rest of the package imports from this one place.
+Fixed values: word lists, thresholds, weights and limits. Nothing here but
+the table of marked letters is derived; the rest of the package imports from
+this one place.
 """
 
+import unicodedata
+
 # --- text normalisation -----------------------------------------------------
 STOPWORDS = [
     "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of",
@@ -30,9 +33,14 @@ BM25_MIN_IDF = 1e-6
 SEMANTIC_WEIGHT = 0.6
 DEFAULT_TOP_K = 5
 MAX_TOP_K = 50
-# Latin letters with marks and the plain letter each is indexed under.
-MARKED_LETTERS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN_LETTERS = "aaaaaaceeeeiiiinooooouuuuyy"
+# Latin letters with marks and the plain letter each is indexed under: all that decompose into one.
+_MARKED = {
+    chr(c): unicodedata.normalize("NFD", chr(c))[0]
+    for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    if chr(c).islower() and len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii()
+}
+MARKED_LETTERS = "".join(_MARKED)
+PLAIN_LETTERS = "".join(_MARKED.values())
 
 # --- content selection ------------------------------------------------------
 MAX_CONTENT_LENGTH = 4000
