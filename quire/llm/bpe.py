@@ -7,7 +7,7 @@ end up in the result: those from which a longer token can start within the
 last bytes. As soon as all of them share their history, that history is
 emitted; the lookahead is bounded by the longest token. States are the last
 emitted token and the bytes after it; they and their transitions come into
-being when a text first needs them.
+being when a text first needs them, as far as a bound on their number allows.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from quire.llm.common import list_column, map_batches, texts_of
 
-#: Entries after which the tables of transitions and of encoded pieces are begun anew.
-TABLE_LIMIT = 400_000
+#: Bounds of a process's tables. Beyond the first, states are made for one use and not kept.
+STATE_LIMIT, FOLLOW_LIMIT, PIECE_LIMIT = 120_000, 400_000, 250_000
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -46,6 +46,11 @@ def merged(piece: bytes, ranks: dict[bytes, int], before: int = 1 << 62) -> list
     return [ranks[p] for p in parts]
 
 
+#: Number (-1: not kept), the token emitted last (-1: none), the bytes since, and the
+#: live offsets among them, each with the tokens that lead to it.
+State = tuple[int, int, bytes, list[tuple[int, tuple[int, ...]]]]
+
+
 class Transducer:
     """Encodes the pieces of one vocabulary."""
 
@@ -57,21 +62,17 @@ class Transducer:
         self.known |= {t: 2 * i + (t in self.known) for t, i in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.follows: dict[int, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        self.ids: dict[tuple[int, bytes], int] = {}
-        #: Per state: the token emitted last (-1: none), the bytes since, and the live
-        #: offsets among them, each with the tokens that lead to it.
-        self.states: list[tuple[int, bytes, list[tuple[int, tuple[int, ...]]]]] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: States by (last emitted token or -1, bytes since), and their transitions by number * 256 + byte.
+        self.states: dict[tuple[int, bytes], State] = {}
+        self.moves: dict[int, tuple[State, tuple[int, ...]]] = {}
         self.start = self.state(-1, b"", [(0, ())])
 
-    def state(self, last: int, pending: bytes, live: list) -> int:
+    def state(self, last: int, pending: bytes, live: list[tuple[int, tuple[int, ...]]]) -> State:
         key = (last, pending)
-        if (found := self.ids.get(key)) is None:
-            found = self.ids[key] = len(self.states)
-            self.states.append((last, pending, live))
+        if (found := self.states.get(key)) is None:
+            if len(self.states) >= STATE_LIMIT:
+                return -1, last, pending, live
+            found = self.states[key] = len(self.states), last, pending, live
         return found
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -105,8 +106,8 @@ class Transducer:
                 break
         return True
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, pending, live = self.states[state]
+    def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        _, last, pending, live = state
         pending += bytes((byte,))
         known, follows, kept, new = self.known, self.follows, [], None
         for entry in live:
@@ -118,7 +119,7 @@ class Transducer:
                 left = way[-1] if way else last
                 key = (left + 1) << 24 | token
                 if (fits := follows.get(key)) is None:
-                    if len(follows) > 2 * TABLE_LIMIT:
+                    if len(follows) >= FOLLOW_LIMIT:
                         follows.clear()
                     fits = follows[key] = self.may_follow(left, token)
                 if fits:
@@ -145,32 +146,44 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.moves) > TABLE_LIMIT:
-            self.reset()
         out: list[int] = []
         state, moves = self.start, self.moves
         for byte in piece:
-            key = state << 8 | byte
-            if (step := moves.get(key)) is None:
-                step = moves[key] = self.move(state, byte)
-            state, emitted = step
+            number = state[0]
+            if number < 0:
+                state, emitted = self.move(state, byte)
+            elif (step := moves.get(number << 8 | byte)) is not None:
+                state, emitted = step
+            else:
+                step = self.move(state, byte)
+                if step[0][0] >= 0:
+                    moves[number << 8 | byte] = step
+                state, emitted = step
             if emitted:
                 out += emitted
-        out += self.states[state][2][-1][1]
+        out += state[3][-1][1]
         return out
 
 
 class Pieces(dict):
-    """Piece of text -> its ids as little-endian 32-bit integers, filled on demand."""
+    """Piece of text -> its ids as little-endian 32-bit integers, filled on demand.
+
+    Two generations: when the younger is full it becomes the elder, and pieces
+    still in use come back from there.
+    """
 
     def __init__(self, transducer: Transducer) -> None:
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.elder = transducer, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if (packed := self.elder.get(piece)) is None:
+            ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
+            if len(self) >= PIECE_LIMIT:
+                self.elder = dict(self)
+                self.clear()
             self[piece] = packed
         return packed
 
@@ -213,15 +226,21 @@ def stream_decode(ids: Iterable[int], bytes_of: dict[int, bytes]) -> Iterator[st
         yield part
 
 
-_loaded: dict[tuple[str, str], tuple[Pieces, regex.Pattern, dict[int, bytes]]] = {}
+#: Tables of this process, kept from task to task.
+_encoders: dict[tuple[str, str], tuple[Pieces, regex.Pattern]] = {}
+_decoders: dict[str, dict[int, bytes]] = {}
+
+
+def _encoder(path: str, pattern: str) -> tuple[Pieces, regex.Pattern]:
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = Pieces(Transducer(read_ranks(path))), regex.compile(pattern)
+    return _encoders[path, pattern]
 
 
-def _load(path: str, pattern: str):
-    """Tables of this process, kept from task to task."""
-    if (path, pattern) not in _loaded:
-        t = Transducer(read_ranks(path))
-        _loaded[path, pattern] = Pieces(t), regex.compile(pattern), t.bytes_of
-    return _loaded[path, pattern]
+def _decoder(path: str) -> dict[int, bytes]:
+    if path not in _decoders:
+        _decoders[path] = {i: b for b, i in read_ranks(path).items()}
+    return _decoders[path]
 
 
 def bpe_encode(
@@ -240,13 +259,11 @@ def bpe_encode(
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        pieces, split, _ = _load(path, pattern)
+        pieces, split = _encoder(path, pattern)
         out = []
         gc.disable()  # millions of small tuples without cycles
         try:
             for t in texts_of(batch.column("_text")):
-                if len(pieces) > TABLE_LIMIT:
-                    pieces.clear()
                 out.append(b"".join(map(pieces.__getitem__, split.findall(t))))
         finally:
             gc.enable()
@@ -270,9 +287,9 @@ def bpe_decode(encoded: DataFrame, ranks_path: str | None = None, keep: tuple[st
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def decode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        _, _, bytes_of = _load(path, public_tokenizers.PATTERN)
+        bytes_of = _decoder(path)
         out = []
-        for ids in batch.column("ids").to_pylist():
+        for ids in batch.column("_ids").to_pylist():
             ids = np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids or ()
             machine, parts = Utf8Stream(), []
             for at in range(0, len(ids), 4096):
@@ -280,4 +297,4 @@ def bpe_decode(encoded: DataFrame, ranks_path: str | None = None, keep: tuple[st
             out.append("".join(parts) + machine.feed(b"", last=True))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "decoded"])
 
-    return map_batches(encoded.select(*keep, "ids"), decode, f"{kinds}, decoded string")
+    return map_batches(encoded.select(*keep, encoded["ids"].alias("_ids")), decode, f"{kinds}, decoded string")
