@@ -115,7 +115,9 @@ def test_bpe_equals_the_tokenizer_and_round_trips(docs, reference_encoding):
         assert r["n_tokens"] == len(ids) and r["decoded"] == (r["text"] or "")
 
 
-def test_bpe_transducer_on_random_bytes(reference_encoding):
+@pytest.mark.parametrize("limit", [10**6, 40, 0])
+def test_bpe_transducer_on_random_bytes(monkeypatch, limit):
+    monkeypatch.setattr(bpe, "STATE_LIMIT", limit)
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.DEFAULT_RANKS))
     t, rng = bpe.Transducer(ranks), random.Random(3)
     for _ in range(1500):
