@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from quire.llm.common import list_column, map_batches, texts_of
 
-#: Bounds of a process's tables. Beyond the first, states are made for one use and not kept.
+#: Bounds of a process's tables. Beyond the first, what isn't tabulated is worked out without making states.
 STATE_LIMIT, FOLLOW_LIMIT, PIECE_LIMIT = 120_000, 400_000, 250_000
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -46,7 +46,7 @@ def merged(piece: bytes, ranks: dict[bytes, int], before: int = 1 << 62) -> list
     return [ranks[p] for p in parts]
 
 
-#: Number (-1: not kept), the token emitted last (-1: none), the bytes since, and the
+#: Number, the token emitted last (-1: none), the bytes since, and the
 #: live offsets among them, each with the tokens that lead to it.
 State = tuple[int, int, bytes, list[tuple[int, tuple[int, ...]]]]
 
@@ -70,8 +70,6 @@ class Transducer:
     def state(self, last: int, pending: bytes, live: list[tuple[int, tuple[int, ...]]]) -> State:
         key = (last, pending)
         if (found := self.states.get(key)) is None:
-            if len(self.states) >= STATE_LIMIT:
-                return -1, last, pending, live
             found = self.states[key] = len(self.states), last, pending, live
         return found
 
@@ -148,22 +146,55 @@ class Transducer:
             return [whole]
         out: list[int] = []
         state, moves = self.start, self.moves
-        for byte in piece:
-            number = state[0]
-            if number < 0:
-                state, emitted = self.move(state, byte)
-            elif (step := moves.get(number << 8 | byte)) is not None:
-                state, emitted = step
-            else:
-                step = self.move(state, byte)
-                if step[0][0] >= 0:
-                    moves[number << 8 | byte] = step
-                state, emitted = step
+        for at, byte in enumerate(piece):
+            key = state[0] << 8 | byte
+            if (step := moves.get(key)) is None:
+                if len(self.states) >= STATE_LIMIT:
+                    out += self.run_out(state, piece, at)
+                    return out
+                step = moves[key] = self.move(state, byte)
+            state, emitted = step
             if emitted:
                 out += emitted
         out += state[3][-1][1]
         return out
 
+    def run_out(self, state: State, piece: bytes, at: int) -> list[int]:
+        """The tokens from ``state`` on for the bytes from ``at`` to the end, by the same steps without making states."""
+        _, last, pending, ways = state
+        data, known, follows = pending + piece[at:], self.known, self.follows
+        # A live offset: its place, the token that ends there, and the offset before it.
+        live = []
+        for place, way in ways:
+            node = (0, last, None)
+            for token in way:
+                node = (node[0] + len(self.bytes_of[token]), token, node)
+            live.append(node)
+        for n in range(len(pending) + 1, len(data) + 1):
+            new, kept = None, []
+            for node in live:
+                if (found := known.get(data[node[0] : n])) is None:
+                    continue
+                if new is None and found >= 0:
+                    key = (node[1] + 1) << 24 | found >> 1
+                    if (fits := follows.get(key)) is None:
+                        if len(follows) >= FOLLOW_LIMIT:
+                            follows.clear()
+                        fits = follows[key] = self.may_follow(node[1], found >> 1)
+                    if fits:
+                        new = (n, found >> 1, node)
+                if found & 1:
+                    kept.append(node)
+            if new is None:
+                raise ValueError("the vocabulary lacks a byte or isn't made of merges")
+            kept.append(new)
+            live = kept
+        node, out = live[-1], []
+        while node[2] is not None:
+            out.append(node[1])
+            node = node[2]
+        return out[::-1]
+
 
 class Pieces(dict):
     """Piece of text -> its ids as little-endian 32-bit integers, filled on demand.
