@@ -1,4 +1,4 @@
-"""MinHash near-duplicates: ProbMinHash of weighted shingles, banding, exact verification.
+"""MinHash near-duplicates: ProbMinHash of weighted and of equal shingles, banding, exact verification.
 
 Texts of the same words in the same order form one group first, by a key of 128
 bits; only one text of each such group goes on. A text's shingles are runs of
@@ -9,6 +9,11 @@ with the probability Jaccard similarity. Arrivals later than every component's
 first can't matter, so a shingle's process stops there; a first guess of that
 time spares most shingles any arrival at all.
 
+Links are verified on the sets of shingles, and with equal shares the probability
+Jaccard similarity is that of the sets. So a text that repeats a shingle has the
+bands of both signatures, by its counts and with equal shares; without repeats the
+two are one.
+
 Bands of components make candidates. A band shared by many texts isn't expanded
 into pairs: its members are first verified against one of them (a star), and only
 where a bucket then still holds several components its members are compared in
@@ -47,6 +52,22 @@ def weighted(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return t[at], s[at], count / np.diff(offsets)[t[at]]
 
 
+def all_bands(shingles: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of every text, flat, and their offsets: by its shingles' counts, and where they differ also with equal shares."""
+    n_texts = len(offsets) - 1
+    text, shingle, share = weighted(shingles, offsets)
+    keys = band_keys(signatures(text, shingle, share, n_texts, bands * rows), bands, rows)
+    distinct = np.bincount(text, minlength=n_texts)
+    repeats = distinct < np.diff(offsets)
+    own = repeats[text]
+    equal = band_keys(signatures((np.cumsum(repeats) - 1)[text[own]], shingle[own], 1 / distinct[text[own]], int(repeats.sum()), bands * rows), bands, rows)
+    both = np.concatenate((keys, keys), axis=1)
+    both[repeats, bands:] = equal
+    new = np.ones(both.shape, bool)
+    new[:, bands:] = both[:, bands:] != keys
+    return both[new], np.concatenate(([0], np.cumsum(new.sum(axis=1))))
+
+
 def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
 
@@ -114,9 +135,9 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
         words, offsets = word_hashes(texts_of(batch.column("_text")))
         k1, k2 = text_keys(words, offsets)
         hashes, ends = shingle_hashes(words, offsets, shingle)
-        keys = band_keys(signatures(*weighted(hashes, ends), batch.num_rows, bands * rows), bands, rows)
+        keys, of_text = all_bands(hashes, ends, bands, rows)
         none = np.diff(offsets) == 0
-        flat = list_column(keys.view(np.int64).ravel(), np.arange(batch.num_rows + 1) * bands, pa.int64())
+        flat = list_column(keys.view(np.int64), of_text, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in keep), pa.array(k1, mask=none), pa.array(k2, mask=none), flat], names=[*keep, "k1", "k2", "bands"],
         )
@@ -201,8 +222,8 @@ def near_duplicates(
 
     ``kept`` is doc_id = class_id. Texts of the same words are always linked; others
     when the sets of their runs of five words have a Jaccard similarity of at least
-    ``similarity`` and a band in common (missed with a chance under 1 in 10,000 at 0.8
-    of probability Jaccard). A text of fewer than five words has one run of all
+    ``similarity`` and a band in common (missed with a chance under 1 in 10,000 at a
+    Jaccard similarity of 0.8 of the sets, however often their runs repeat). A text of fewer than five words has one run of all
     its words; null texts and those without a word link with nothing. Repeated rows
     share a class and are all kept if their id is its smallest; rows without
     doc_id get class_id null and kept false. Other columns are ignored, an empty

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from quire.llm import decontaminate, neardup, vectors
-from quire.llm.common import components
+from quire.llm.common import components, shingle_hashes, word_hashes
 
 
 def classes_of(nodes, links):
@@ -82,6 +82,39 @@ def test_near_duplicates_of_repeated_and_missing_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def repeated_lines(rng):
+    """Texts of 20 lines, and near copies of them that have one or two lines 2 to 100 times."""
+    pool, texts = [f"w{i}" for i in range(4000)], []
+    for times in (2, 3, 5, 10, 20, 41, 70, 100):
+        for _ in range(12):
+            lines = [" ".join(rng.choices(pool, k=10)) for _ in range(20)]
+            texts += [" ".join(lines), " ".join(lines[:3] + [lines[3]] * times + lines[4:]), " ".join([lines[0]] * 7 + lines[1:9] + [lines[9]] * times + lines[10:])]
+    return dict(enumerate(texts))
+
+
+def test_near_duplicates_of_repeated_lines_equal_all_pairs(spark):
+    texts = repeated_lines(random.Random(21))
+    links = near_links(texts)
+    assert len(links) > 250
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == classes_of(texts, links)
+
+
+def test_bands_cover_the_jaccard_of_sets():
+    texts = repeated_lines(random.Random(22)) | {1000: "a b c d e f", 1001: "", 1002: "word " * 30}
+    hashes, ends = shingle_hashes(*word_hashes(list(texts.values())), 5)
+    keys, at = neardup.all_bands(hashes, ends, neardup.BANDS, neardup.ROWS)
+    sets = {k: set(keys[a:b].tolist()) for k, a, b in zip(texts, at, at[1:])}
+    assert all(len(sets[k]) == b - a for k, a, b in zip(texts, at, at[1:]))
+    assert len(sets[0]) == len(sets[1000]) == len(sets[1002]) == neardup.BANDS
+    weighted = neardup.band_keys(neardup.signatures(*neardup.weighted(hashes, ends), len(texts), neardup.BANDS * neardup.ROWS), neardup.BANDS, neardup.ROWS)
+    by_count = {k: set(row.tolist()) for k, row in zip(texts, weighted)}
+    assert all(by_count[k] <= sets[k] for k in texts)
+    links = near_links(texts)
+    assert sum(not by_count[a] & by_count[b] for a, b in links) > 20
+    assert all(sets[a] & sets[b] for a, b in links)
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(10)
     a = rng.integers(0, 1 << 60, 400).astype(np.uint64)
