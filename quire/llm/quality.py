@@ -6,7 +6,8 @@ the one before), hashed to a fixed number of places. Each indicator is scaled
 by the logarithm of the ratio of its counts in the two classes; a linear
 hinge-loss model on the scaled indicators is fitted by dual coordinate descent
 on a bounded sample of the labelled rows, and its margin is turned into a
-probability by a logistic curve fitted on other rows of that sample.
+probability by a logistic curve fitted on other rows of that sample, weighted so
+that the classes have their shares in all labels.
 """
 
 from __future__ import annotations
@@ -91,13 +92,13 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost:
     return weights * scale, bias
 
 
-def _curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through (margin, label), by Newton steps with a weak prior."""
+def _curve(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through (margin, label, weight), by Newton steps with a weak prior."""
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -35, 35)))
-        gradient = np.array([((y - p) * margin).sum() - 0.01 * (a - 1), (y - p).sum() - 0.01 * b])
-        w = p * (1 - p)
+        gradient = np.array([(weight * (y - p) * margin).sum() - 0.01 * (a - 1), (weight * (y - p)).sum() - 0.01 * b])
+        w = weight * p * (1 - p)
         h = np.array([[(w * margin**2).sum() + 0.01, (w * margin).sum()], [(w * margin).sum(), w.sum() + 0.01]])
         step = np.linalg.solve(h, gradient)
         a, b = a + step[0], b + step[1]
@@ -113,16 +114,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, rounds:
     ``docs`` doc_id and text. Fitted on at most ``sample`` labelled documents, half
     of them per class: those whose doc_id has the smallest hash. This list of ids,
     bounded by ``sample``, is broadcast, so no text is shuffled; what reaches the
-    driver is the indicators of these documents. Repeated ids count once per
-    label. Without rows of both classes every score is the share of class 1
+    driver is the indicators of these documents, and the number of all labels per
+    class: a chosen row weighs in the logistic curve as many labels as it stands
+    for, so a score means the same whatever ``sample`` leaves out. Repeated ids
+    count once per label. Without rows of both classes every score is the share of class 1
     (0.5 without rows).
     """
     half = sample // 2
-    chosen = [
-        labels.where(F.col(label) == v).select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(half)
-        for v in (0, 1)
-    ]
+    known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null").distinct()
+    chosen = [known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for v in (0, 1)]
+    total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    stands_for = [total.get(v, 0) / max(min(total.get(v, 0), half), 1) for v in (0, 1)]
 
     def places(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = [indicators(t).astype("<u4").tobytes() for t in texts_of(batch.column("_text"))]
@@ -153,7 +155,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, rounds:
     norm = [max(float(np.sqrt((ratio[r] ** 2).sum())), 1e-9) for r in x]
     margin = np.array([weights[r].sum() / n + bias for r, n in zip(x, norm)])
     back = ~fit if not fit.all() else fit
-    slope, offset = _curve(margin[back], good[back].astype(float))
+    weight = np.where(good, stands_for[1], stands_for[0])
+    slope, offset = _curve(margin[back], good[back].astype(float), (weight / weight.mean())[back])
     return {"weights": weights.astype(np.float32), "squares": (ratio**2).astype(np.float32), "bias": bias, "slope": slope, "offset": offset}
 
 

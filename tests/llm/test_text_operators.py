@@ -234,3 +234,20 @@ def test_quality_is_learned_and_scored(spark, docs, empty):
     assert quality.score_quality(table, one_class).where("score < 0.99").count() == 0
     unknown = quality.fit_quality(empty.select("doc_id", "text"), table.where("false").select("doc_id", "quality"))
     assert {r["score"] for r in quality.score_quality(docs, unknown).collect()} == {0.5}
+
+
+def test_quality_scores_keep_the_share_of_the_classes_in_a_small_sample(spark):
+    rng = random.Random(23)
+    plain, odd = "lorem ipsum dolor amet the of and to".split(), "zork quux blah".split()
+    # The signs of the classes overlap, so that scores in the middle occur.
+    rows = [(i, " ".join(rng.choice(odd) if rng.random() < (0.1 if i % 10 else 0.2) else rng.choice(plain) for _ in range(30)), int(i % 10 > 0)) for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    labels = table.select("doc_id", "quality")
+    scores = {}
+    for sample in (8000, 300):
+        model = quality.fit_quality(table.drop("quality"), labels.union(labels.where("doc_id % 7 = 0")), sample=sample)
+        scores[sample] = {r["doc_id"]: r["score"] for r in quality.score_quality(table, model).collect()}
+    full, small = scores[8000], scores[300]
+    assert abs(np.mean(list(full.values())) - 0.9) < 0.05
+    assert abs(np.mean(list(small.values())) - 0.9) < 0.1
+    assert sum((full[i] >= 0.3) != (small[i] >= 0.3) for i in full) < 0.05 * len(full)
