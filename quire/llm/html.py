@@ -1,12 +1,12 @@
 """Main text of web pages, with templates found per site.
 
 Every page is read into a tree; the subtrees of its block elements are hashed,
-and Spark counts on how many pages of a host each hash occurs. What recurs on many
-pages of its host is template and is deleted, as is what the markup itself
+and Spark counts on how many pages of a host each hash occurs, pages of the same
+main text as one. What recurs on many pages of its host is template and is deleted, as is what the markup itself
 declares to be no article: menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments. Inside an article plain paragraphs,
-headings and list items are never deleted for recurring: articles do quote each
-other. Neither is a subtree that holds most of the page's text.
+headings and list items, and the containers that hold them, are never deleted for
+recurring: articles do quote each other. Neither is a subtree that holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -196,15 +196,18 @@ class Page:
 
     def template_candidates(self) -> dict[int, int]:
         """Element -> hash of those that recurring could delete."""
-        inside, _ = self.regions()
+        inside, cut = self.regions()
         length, hashed = self.lengths(), self.hashes()
         marked = any(t == "article" or t == "main" for t in self.tag)
         most = max(length[0], 1)
+        flow = [marked and inside[i] and not cut[i] and self.tag[i] in FLOW and length[i] > 0 for i in range(len(self.tag))]
+        for i in range(len(flow) - 1, 0, -1):
+            flow[self.parent[i]] = flow[self.parent[i]] or flow[i]
         return {
             i: hashed[i]
             for i in range(1, len(self.tag))
             if self.tag[i] in BLOCK and self.tag[i] not in ("html", "body", "head", "article", "main") and length[i]
-            and 2 * length[i] <= most and not (marked and inside[i] and self.tag[i] in FLOW)
+            and 2 * length[i] <= most and not (marked and inside[i] and (flow[i] or self.tag[i] in FLOW))
         }
 
     def text(self, recurring: frozenset[int] = frozenset()) -> str:
@@ -239,23 +242,27 @@ def host_of(url: str) -> Column:
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, html: str = "html", url: str = "url") -> DataFrame:
     """host and the hashes of its template subtrees.
 
-    A page gives each of its hashes once; they are counted per host with partial
-    sums, so neither a large host nor a subtree on all its pages gathers in a
+    Pages of a host with the same main text (repeated rows, mirrors, variants of an
+    address) are copies and count as one page, so an article isn't taken for a
+    template because it has copies. A page gives each of its hashes once; they are
+    made distinct and counted per host with partial sums, so neither a large host nor a subtree on all its pages gathers in a
     task. Since a template is on a share of its host's pages, a host has at most
     as many as a page has subtrees on average, divided by that share.
     """
 
     def hashes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        host, found = [], []
+        host, content, found = [], [], []
         for h, source in zip(batch.column("_host").to_pylist(), texts_of(batch.column("_html"))):
-            own = {-1, *Page(source).template_candidates().values()}
+            page = Page(source)
+            own = {-1, *page.template_candidates().values()}
             host += [h] * len(own)
+            content += [xxhash.xxh3_64_intdigest(page.text().encode("utf-8", "surrogatepass")) >> 1] * len(own)
             found += own
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(found, pa.int64())], names=["host", "hash"])
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(content, pa.int64()), pa.array(found, pa.int64())], names=["host", "content", "hash"])
 
     counted = cut_lineage(
-        map_batches(pages.select(host_of(url).alias("_host"), F.col(html).cast("string").alias("_html")), hashes, "host string, hash bigint")
-        .groupBy("host", "hash").agg(F.count("*").alias("n")).where(f"n >= {least_pages}")
+        map_batches(pages.select(host_of(url).alias("_host"), F.col(html).cast("string").alias("_html")), hashes, "host string, content bigint, hash bigint")
+        .distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(f"n >= {least_pages}")
     )
     totals = counted.where("hash = -1").select("host", F.col("n").alias("pages"))
     return (
@@ -269,8 +276,8 @@ def extract_text(
 ) -> DataFrame:
     """``keep`` columns and ``text``, the main text of the whole page (empty if there is none or html is null).
 
-    Rows stand for themselves, but each counts as a page of its host, repeated
-    rows too. Pages without a host count as one host. Broken markup is read as
+    Every row gives a row; for the templates of a host, pages of the same main text
+    count as one, repeated rows too. Pages without a host count as one host. Broken markup is read as
     browsers do: ends that are missing are implied, ends without a start are
     ignored. Other columns are ignored; an empty table gives an empty one.
     """

@@ -44,3 +44,22 @@ def test_templates_of_a_site_go_and_articles_stay(spark):
     assert got[201] == "Read our terms" and got[202] == got[203] == ""
     assert extract_text(frame).count() == len(pages)
     assert extract_text(frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("mark", ["article", "div"])
+def test_copies_of_a_page_are_no_templates(spark, mark):
+    notice = "<div><span>Read our terms</span></div>"
+    body = lambda i: f"<h2>Title {i}</h2><ul><li>first point {i}<li>second point {i}</ul><table><tr><td>cell {i}<td>more {i}</table><p>And paragraph {i} ends it.</p>"
+    pages = [(i, f"https://a.example/{i}", f"<{mark}>{body(i)}{notice}</{mark}>") for i in range(12)]
+    pages += [(100 + i, f"https://a.example/copied?variant={i}", f"<{mark}>{body(77)}{notice}</{mark}>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    wanted = "Title {0} first point {0} second point {0} cell {0} more {0} And paragraph {0} ends it."
+    assert got == {i: wanted.format(i if i < 100 else 77) for i in got} and len(got) == 24
+
+
+def test_containers_of_flow_inside_an_article_stay(spark):
+    quoted = "<ul><li>quoted one<li>quoted two</ul><section><h2>Same</h2><p>words</p></section>"
+    boxes = "<div><span>Read our terms</span></div><div>Menu<nav><ul><li>home</ul></nav></div>"
+    pages = [(i, f"https://a.example/{i}", f"<article><p>Story number {i} is told here at some length.</p>{quoted}{boxes}</article>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Story number {i} is told here at some length. quoted one quoted two Same words" for i in range(12)}
