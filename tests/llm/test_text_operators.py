@@ -206,11 +206,34 @@ def test_pii_keeps_base_spans_and_adds_secrets(spark, docs, empty):
     assert pii.find_pii(empty, pii.fit_pii(empty)).count() == 0
 
 
+def test_pii_secrets_of_any_length(spark):
+    rng = random.Random(24)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+    short = lambda: "".join(rng.choices(letters, k=rng.randint(24, 60))) + "1"
+    rows = [(i, rng.choice([f'token = "{rng.getrandbits(128):032x}"', f'token = "{short()}"', f"plain words only number {i}", f"path/to-some/thing{i:06d}x/longer here"])) for i in range(900)]
+    model = pii.fit_pii(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    for n in (128, 129, 130, 256, 1000, 5000):
+        for make in (lambda: f"{rng.getrandbits(4 * n):0{n}x}", lambda: "".join(rng.choices(letters, k=n - 1)) + "7"):
+            text = f'now token = "{make()}" is set'
+            while pii.base_spans(text):  # a card number by chance goes before the run around it
+                text = f'now token = "{make()}" is set'
+            assert (13, 13 + n, "secret") in pii.proposals(text)
+            assert pii.redact(text, pii.all_spans(text, model)) == 'now token = "[SECRET]" is set'
+    signed = ".".join("eyJ" + "".join(rng.choices(letters, k=k)) + "1" for k in (40, 300, 342))
+    assert [b - a for a, b, kind in pii.proposals(f"bearer {signed}") if kind == "secret"] == [44, 304, 346]
+
+
 def test_pii_search_is_linear():
     for hard in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + "(" * 100_000, "a@b." * 50_000):
         pii.base_spans(hard)
 
 
+def test_pii_proposals_are_linear():
+    for hard in ("a1" * 200_000, "a" * 400_000, "a/" * 100_000 + " 1", "1" * 400_000 + "é"):
+        for span in pii.proposals(hard):
+            assert len(pii.features(hard, span)) == len(pii.FEATURES)
+
+
 # Quality
 
 
