@@ -38,6 +38,36 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(each, schema)
 
 
+def beside(store: DataFrame, asks: DataFrame, key: str, load: Callable[[pa.Table], object], answer: Callable[[object, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """``answer`` over the rows of ``asks``, in slices, each beside what ``load`` makes of the rows of ``store`` with the same key.
+
+    Both sides are dealt by ``key`` (not null) and sorted, a key's stored rows first
+    (by ``order``), so a task holds one key's stored rows at a time and streams what
+    asks for them, however much that is. Asks whose key isn't stored get no answer.
+    """
+    rows = store.withColumn("_ask", F.lit(False)).unionByName(asks.withColumn("_ask", F.lit(True)), allowMissingColumns=True)
+    rows = rows.repartition(key).sortWithinPartitions(key, "_ask", *order)
+
+    def stream(batches):
+        current, waiting, loaded = None, [], None
+        for batch in batches:
+            keys, ask = batch.column(key).to_numpy(), batch.column("_ask").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (ask[1:] != ask[:-1])) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
+                if keys[a] != current:
+                    current, waiting, loaded = keys[a], [], None
+                if not ask[a]:
+                    waiting.append(batch.slice(a, b - a))
+                    continue
+                if waiting:
+                    loaded, waiting = load(pa.Table.from_batches(waiting)), []
+                if loaded is not None:
+                    for k in range(a, b, SLICE * 8):
+                        yield from answer(loaded, batch.slice(k, min(SLICE * 8, b - k)))
+
+    return rows.mapInArrow(stream, schema)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of a column; null counts as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, licenses
+from quire.llm import chat, licenses, lines
 from quire.llm.bpe import bpe_decode, bpe_encode
 from quire.llm.common import table
 from quire.llm.decontaminate import contaminated
@@ -92,3 +92,8 @@ def _(spark, folder):
         "doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"),
     )
+
+
+@query("op11_lines", lines.SQL)
+def _(spark, folder):
+    return lines.line_digest(lines.dedup_lines(table(spark, folder, "documents")))
