@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, licenses, lines
+from quire.llm import chat, licenses, lines, negatives
 from quire.llm.bpe import bpe_decode, bpe_encode
 from quire.llm.common import table
 from quire.llm.decontaminate import contaminated
@@ -97,3 +97,8 @@ def _(spark, folder):
 @query("op11_lines", lines.SQL)
 def _(spark, folder):
     return lines.line_digest(lines.dedup_lines(table(spark, folder, "documents")))
+
+
+@query("op12_negatives", negatives.SQL)
+def _(spark, folder):
+    return negatives.mine_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, negatives.moved_label())
