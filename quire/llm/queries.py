@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, licenses, lines, negatives
+from quire.llm import chat, licenses, lines, negatives, repair
 from quire.llm.bpe import bpe_decode, bpe_encode
 from quire.llm.common import table
 from quire.llm.decontaminate import contaminated
@@ -102,3 +102,9 @@ def _(spark, folder):
 @query("op12_negatives", negatives.SQL)
 def _(spark, folder):
     return negatives.mine_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, negatives.moved_label())
+
+
+@query("op13_repair", repair.SQL)
+def _(spark, folder):
+    rows = table(spark, folder, "conversations")
+    return repair.repair_digest(repair.repair_conversations(repair.damaged(rows)), rows)
