@@ -2,18 +2,22 @@
 
 The encoding of every prefix of a byte string ends in one token, and a token
 may follow another exactly if merging the two together gives the two again.
-So a transducer that reads bytes needs to know only the tokens that may still
-end up in the result: those from which a longer token can start within the
-last bytes. As soon as all of them share their history, that history is
-emitted; the lookahead is bounded by the longest token. States are the last
-emitted token and the bytes after it; they and their transitions come into
-being when a text first needs them, as far as a bound on their number allows.
+So a transducer that reads bytes needs to know only the offsets from which a longer
+token can still start within the last bytes, and of each the token that ends there.
+A state is just that: per live offset its node in the trie of all tokens and the
+token before it. Which offset a new token starts from and which offsets stay live
+is a transition's output; the tokens themselves are kept in one register per
+live offset, so texts with other tokens before share states. As soon as one offset is
+left its tokens are emitted; the lookahead is bounded by the longest token. States and
+transitions come into being when a text first needs them, as far as a bound on
+their number allows.
 """
 
 from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from quire.llm.common import list_column, map_batches, texts_of
 
-#: Bounds of a process's tables. Beyond the first, what isn't tabulated is worked out without making states.
+#: Bounds of a process's tables. States beyond the first are made for one piece and forgotten.
 STATE_LIMIT, FOLLOW_LIMIT, PIECE_LIMIT = 120_000, 400_000, 250_000
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -46,9 +50,10 @@ def merged(piece: bytes, ranks: dict[bytes, int], before: int = 1 << 62) -> list
     return [ranks[p] for p in parts]
 
 
-#: Number, the token emitted last (-1: none), the bytes since, and the
-#: live offsets among them, each with the tokens that lead to it.
-State = tuple[int, int, bytes, list[tuple[int, tuple[int, ...]]]]
+#: Per live offset, from the first to the last: its node in the trie (0: the root), and the token that ends there (-1: none).
+Key = tuple[tuple[int, int], ...]
+#: The next state, the live offsets that stay (None: all), and the new token with the offset it starts from.
+Step = tuple[dict, tuple[int, ...] | None, int, int]
 
 
 class Transducer:
@@ -57,20 +62,31 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        #: Token or proper prefix of tokens -> 2 * its id (-1: no token) + whether it is such a prefix.
-        self.known = {t[:n]: -1 for t in ranks for n in range(1, len(t))}
-        self.known |= {t: 2 * i + (t in self.known) for t, i in ranks.items()}
+        #: The trie: node * 256 + byte -> node; and the token that ends at a node (-1: none).
+        self.trie: dict[int, int] = {}
+        self.token_at = [-1]
+        self.inner = {0}
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner.add(node)
+                at = node << 8 | byte
+                if (child := self.trie.get(at)) is None:
+                    child = self.trie[at] = len(self.token_at)
+                    self.token_at.append(-1)
+                node = child
+            self.token_at[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.follows: dict[int, bool] = {}
-        #: States by (last emitted token or -1, bytes since), and their transitions by number * 256 + byte.
-        self.states: dict[tuple[int, bytes], State] = {}
-        self.moves: dict[int, tuple[State, tuple[int, ...]]] = {}
-        self.start = self.state(-1, b"", [(0, ())])
+        #: States by what they stand for: their transitions by byte, and at -1 their key.
+        self.states: dict[Key, dict] = {}
+        self.start = self.state(((0, -1),))
 
-    def state(self, last: int, pending: bytes, live: list[tuple[int, tuple[int, ...]]]) -> State:
-        key = (last, pending)
+    def state(self, key: Key) -> dict:
         if (found := self.states.get(key)) is None:
-            found = self.states[key] = len(self.states), last, pending, live
+            found = {-1: key}
+            if len(self.states) < STATE_LIMIT:
+                self.states[key] = found
         return found
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -104,96 +120,61 @@ class Transducer:
                 break
         return True
 
-    def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        _, last, pending, live = state
-        pending += bytes((byte,))
-        known, follows, kept, new = self.known, self.follows, [], None
-        for entry in live:
-            at, way = entry
-            if (found := known.get(pending[at:])) is None:
+    def step(self, state: dict, byte: int) -> Step:
+        """The transition of ``state`` on ``byte``; it is kept if both its states are."""
+        live, kept, source, token = [], [], -1, -1
+        for at, (node, last) in enumerate(state[-1]):
+            if (child := self.trie.get(node << 8 | byte)) is None:
                 continue
-            if new is None and found >= 0:
-                token = found >> 1
-                left = way[-1] if way else last
-                key = (left + 1) << 24 | token
-                if (fits := follows.get(key)) is None:
-                    if len(follows) >= FOLLOW_LIMIT:
-                        follows.clear()
-                    fits = follows[key] = self.may_follow(left, token)
+            if source < 0 and (found := self.token_at[child]) >= 0:
+                key = (last + 1) << 24 | found
+                if (fits := self.follows.get(key)) is None:
+                    if len(self.follows) >= FOLLOW_LIMIT:
+                        self.follows.clear()
+                    fits = self.follows[key] = self.may_follow(last, found)
                 if fits:
-                    new = (len(pending), (*way, token))
-            if found & 1:
-                kept.append(entry)
-        if new is None:
+                    source, token = at, found
+            if child in self.inner:
+                kept.append(at)
+                live.append((child, last))
+        if source < 0:
             raise ValueError("the vocabulary lacks a byte or isn't made of merges")
-        if not kept:
-            return self.state(new[1][-1], b"", [(0, ())]), new[1]
-        shared, ways = 0, [x[1] for x in kept]
-        if ways[0]:
-            for tokens in zip(new[1], *ways):
-                if tokens.count(tokens[0]) < len(tokens):
-                    break
-                shared += 1
-        kept.append(new)
-        emitted = new[1][:shared]
-        if shared:
-            cut = sum(len(self.bytes_of[t]) for t in emitted)
-            last, pending, kept = emitted[-1], pending[cut:], [(at - cut, way[shared:]) for at, way in kept]
-        return self.state(last, pending, kept), emitted
+        live.append((0, token))
+        after = self.state(tuple(live))
+        out = after, None if len(kept) == len(state[-1]) else tuple(kept), source, token
+        if after[-1] in self.states and state[-1] in self.states:
+            state[byte] = out
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         out: list[int] = []
-        state, moves = self.start, self.moves
-        for at, byte in enumerate(piece):
-            key = state[0] << 8 | byte
-            if (step := moves.get(key)) is None:
-                if len(self.states) >= STATE_LIMIT:
-                    out += self.run_out(state, piece, at)
-                    return out
-                step = moves[key] = self.move(state, byte)
-            state, emitted = step
-            if emitted:
-                out += emitted
-        out += state[3][-1][1]
+        # A register is the last token and the register before it.
+        state, registers = self.start, [None]
+        for byte in piece:
+            step = state.get(byte) or self.step(state, byte)
+            state, kept, source, token = step
+            new = (token, registers[source])
+            if kept is None:
+                registers.append(new)
+            elif kept:
+                registers = [registers[k] for k in kept]
+                registers.append(new)
+            else:
+                self.emit(new, out)
+                registers = [None]
+        self.emit(registers[-1], out)
         return out
 
-    def run_out(self, state: State, piece: bytes, at: int) -> list[int]:
-        """The tokens from ``state`` on for the bytes from ``at`` to the end, by the same steps without making states."""
-        _, last, pending, ways = state
-        data, known, follows = pending + piece[at:], self.known, self.follows
-        # A live offset: its place, the token that ends there, and the offset before it.
-        live = []
-        for place, way in ways:
-            node = (0, last, None)
-            for token in way:
-                node = (node[0] + len(self.bytes_of[token]), token, node)
-            live.append(node)
-        for n in range(len(pending) + 1, len(data) + 1):
-            new, kept = None, []
-            for node in live:
-                if (found := known.get(data[node[0] : n])) is None:
-                    continue
-                if new is None and found >= 0:
-                    key = (node[1] + 1) << 24 | found >> 1
-                    if (fits := follows.get(key)) is None:
-                        if len(follows) >= FOLLOW_LIMIT:
-                            follows.clear()
-                        fits = follows[key] = self.may_follow(node[1], found >> 1)
-                    if fits:
-                        new = (n, found >> 1, node)
-                if found & 1:
-                    kept.append(node)
-            if new is None:
-                raise ValueError("the vocabulary lacks a byte or isn't made of merges")
-            kept.append(new)
-            live = kept
-        node, out = live[-1], []
-        while node[2] is not None:
-            out.append(node[1])
-            node = node[2]
-        return out[::-1]
+    @staticmethod
+    def emit(register, out: list[int]) -> None:
+        end = len(out)
+        while register is not None:
+            out.append(register[0])
+            register = register[1]
+        if len(out) - end > 1:
+            out[end:] = out[:end - 1 if end else None:-1]
 
 
 class Pieces(dict):
@@ -247,7 +228,7 @@ class Utf8Stream:
         return data[:cut].decode("utf-8", "replace")
 
 
-def stream_decode(ids: Iterable[int], bytes_of: dict[int, bytes]) -> Iterator[str]:
+def stream_decode(ids: Iterable[int], bytes_of: list[bytes]) -> Iterator[str]:
     """The text of ``ids``, token by token as soon as its characters are complete."""
     machine = Utf8Stream()
     for i in ids:
@@ -259,7 +240,7 @@ def stream_decode(ids: Iterable[int], bytes_of: dict[int, bytes]) -> Iterator[st
 
 #: Tables of this process, kept from task to task.
 _encoders: dict[tuple[str, str], tuple[Pieces, regex.Pattern]] = {}
-_decoders: dict[str, dict[int, bytes]] = {}
+_decoders: dict[str, list[bytes]] = {}
 
 
 def _encoder(path: str, pattern: str) -> tuple[Pieces, regex.Pattern]:
@@ -268,12 +249,33 @@ def _encoder(path: str, pattern: str) -> tuple[Pieces, regex.Pattern]:
     return _encoders[path, pattern]
 
 
-def _decoder(path: str) -> dict[int, bytes]:
+def _decoder(path: str) -> list[bytes]:
     if path not in _decoders:
-        _decoders[path] = {i: b for b, i in read_ranks(path).items()}
+        ranks = read_ranks(path)
+        _decoders[path] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            _decoders[path][rank] = token
     return _decoders[path]
 
 
+def _packed_ids(texts: list[str], pieces: Pieces, split: regex.Pattern) -> Iterator[bytes]:
+    gc.disable()  # millions of small tuples without cycles
+    try:
+        for t in texts:
+            yield b"".join(map(pieces.__getitem__, split.findall(t)))
+    finally:
+        gc.enable()
+
+
+def _decoded(ids: list[int], bytes_of: list[bytes]) -> Iterator[tuple[bytes, str]]:
+    """The bytes of ``ids`` and the text that is complete by then, part by part."""
+    machine = Utf8Stream()
+    for at in range(0, len(ids), 4096):
+        data = b"".join(map(bytes_of.__getitem__, ids[at : at + 4096]))
+        yield data, machine.feed(data)
+    yield b"", machine.feed(b"", last=True)
+
+
 def bpe_encode(
     docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN,
     text: str = "text", keep: tuple[str, ...] = ("doc_id",), packed: bool = False,
@@ -291,13 +293,7 @@ def bpe_encode(
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         pieces, split = _encoder(path, pattern)
-        out = []
-        gc.disable()  # millions of small tuples without cycles
-        try:
-            for t in texts_of(batch.column("_text")):
-                out.append(b"".join(map(pieces.__getitem__, split.findall(t))))
-        finally:
-            gc.enable()
+        out = list(_packed_ids(texts_of(batch.column("_text")), pieces, split))
         counts = np.array([len(b) // 4 for b in out], np.int64)
         if packed:
             ids = pa.array(out, pa.binary())
@@ -322,10 +318,36 @@ def bpe_decode(encoded: DataFrame, ranks_path: str | None = None, keep: tuple[st
         out = []
         for ids in batch.column("_ids").to_pylist():
             ids = np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids or ()
-            machine, parts = Utf8Stream(), []
-            for at in range(0, len(ids), 4096):
-                parts.append(machine.feed(b"".join(map(bytes_of.__getitem__, ids[at : at + 4096]))))
-            out.append("".join(parts) + machine.feed(b"", last=True))
+            out.append("".join(t for _, t in _decoded(ids, bytes_of)))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "decoded"])
 
     return map_batches(encoded.select(*keep, encoded["ids"].alias("_ids")), decode, f"{kinds}, decoded string")
+
+
+def bpe_digest(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and ``decoded_chars`` (code points) of every text.
+
+    Encodes, decodes and digests in one pass, so that neither ids nor decoded texts
+    leave the task; the hashes are those of the packed ids of ``bpe_encode`` and of the bytes
+    they stand for. Null and empty texts, repeated rows and empty tables as there.
+    """
+    path = ranks_path or public_tokenizers.path(DEFAULT_RANKS)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+
+    def digest(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        bytes_of, counts, ids_hash, text_hash, chars = _decoder(path), [], [], [], []
+        for packed in _packed_ids(texts_of(batch.column("_text")), *_encoder(path, pattern)):
+            counts.append(len(packed) // 4)
+            ids_hash.append(hashlib.sha256(packed).hexdigest())
+            seen, n = hashlib.sha256(), 0
+            for data, part in _decoded(np.frombuffer(packed, "<u4").tolist(), bytes_of):
+                seen.update(data)
+                n += len(part)
+            text_hash.append(seen.hexdigest())
+            chars.append(n)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string()), pa.array(chars, pa.int64())],
+            names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"],
+        )
+
+    return map_batches(docs.select(*keep, docs[text].cast("string").alias("_text")), digest, f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, decoded_chars bigint")

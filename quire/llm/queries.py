@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import chat, licenses, lines, negatives, repair
-from quire.llm.bpe import bpe_decode, bpe_encode
+from quire.llm.bpe import bpe_digest
 from quire.llm.common import table
 from quire.llm.decontaminate import contaminated
 from quire.llm.html import extract_text
@@ -60,10 +60,7 @@ def _(spark, folder):
 
 @query("op9_bpe")
 def _(spark, folder):
-    encoded = bpe_encode(table(spark, folder, "documents"), packed=True).withColumn("ids_sha256", F.sha2("ids", 256))
-    return bpe_decode(encoded, keep=("doc_id", "n_tokens", "ids_sha256")).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    return bpe_digest(table(spark, folder, "documents"))
 
 
 @query("op6_vectors")

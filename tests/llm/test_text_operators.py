@@ -115,6 +115,16 @@ def test_bpe_equals_the_tokenizer_and_round_trips(docs, reference_encoding):
         assert r["n_tokens"] == len(ids) and r["decoded"] == (r["text"] or "")
 
 
+def test_bpe_digest_is_that_of_ids_and_bytes(docs, empty, reference_encoding):
+    rows = bpe.bpe_digest(docs, keep=("doc_id", "text")).collect()
+    assert len(rows) == docs.count() and bpe.bpe_digest(empty).count() == 0
+    for r in rows:
+        text = r["text"] or ""
+        ids = np.array(reference_encoding.encode_ordinary(text), "<u4")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert (r["decoded_sha256"], r["decoded_chars"]) == (hashlib.sha256(text.encode()).hexdigest(), len(text))
+
+
 @pytest.mark.parametrize("limit", [10**6, 40, 0])
 def test_bpe_transducer_on_random_bytes(monkeypatch, limit):
     monkeypatch.setattr(bpe, "STATE_LIMIT", limit)
