@@ -103,8 +103,9 @@ def contaminated(
 
     ``tiles`` has doc_at, item_at (words from 0) and length. Items of fewer than
     ``least`` words match as a whole; items without words, null ids and null or
-    empty texts match nothing. Repeated rows count as one text with their ids'
-    places joined; empty tables give an empty one. Other columns are ignored.
+    empty texts match nothing. Repeated rows count once; rows of one id with different
+    texts are judged each by itself, and the best covered one is returned (of equal ones
+    that with fewer tiles). Empty tables give an empty one. Other columns are ignored.
     Only runs whose hash has a bit in a table of fixed size leave the documents'
     tasks; the join with the benchmark's runs is exact whatever its size. A pair
     needs coverage * words / ``least`` different places of the item at least, or
@@ -121,35 +122,41 @@ def contaminated(
             hit = among.contains(runs)
             runs, of, at = runs[hit], of[hit], at[hit]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(of)), pa.array(at), pa.array(runs.view(np.int64))], names=["doc_id", "doc_at", "seed"],
+                [batch.column(c).take(pa.array(of)) for c in ("t1", "t2")] + [pa.array(at), pa.array(runs.view(np.int64))], names=["t1", "t2", "doc_at", "seed"],
             )
 
+    # A text is known by 128 bits; rows with the same text are tiled once, whatever their ids.
     rows = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("_text"))
-    found = map_batches(rows, find, "doc_id bigint, doc_at bigint, seed bigint")
+    rows = rows.withColumn("t1", F.xxhash64("_text")).withColumn("t2", F.xxhash64(F.lit(1), "_text"))
+    found = map_batches(rows.select("t1", "t2", "_text"), find, "t1 bigint, t2 bigint, doc_at bigint, seed bigint")
     pairs = (
-        found.join(seeds, "seed").groupBy("doc_id", "item_id")
+        found.join(seeds, "seed").groupBy("t1", "t2", "item_id")
         .agg(F.collect_set(F.struct("doc_at", "item_at")).alias("seeds"), F.size(F.collect_set("item_at")).alias("places"), F.max("n_words").alias("n_words"))
         .where(F.col("places") * F.least(F.lit(least), "n_words") >= F.lit(coverage) * F.col("n_words"))
     )
 
     def mark(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
-        for d, i, s, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "seeds", "n_words"))):
+        for t1, t2, i, s, n in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "item_id", "seeds", "n_words"))):
             tiles = tile(np.array([x["doc_at"] for x in s]), np.array([x["item_at"] for x in s]), least, n)
             covered = sum(t[2] for t in tiles) / n
             if covered >= coverage:
                 out.append({
-                    "doc_id": d, "item_id": i, "coverage": covered, "n_tiles": len(tiles), "longest": max(t[2] for t in tiles),
+                    "t1": t1, "t2": t2, "item_id": i, "coverage": covered, "n_tiles": len(tiles), "longest": max(t[2] for t in tiles),
                     "tiles": [{"doc_at": a, "item_at": b, "length": k} for a, b, k in sorted(tiles)],
                 })
         yield from pa.Table.from_pylist(out, schema=MARKED).to_batches()
 
-    return map_batches(
-        pairs, mark, "doc_id bigint, item_id bigint, coverage double, n_tiles bigint, longest bigint, tiles array<struct<doc_at:bigint,item_at:bigint,length:bigint>>",
+    marked = map_batches(
+        pairs, mark, "t1 bigint, t2 bigint, item_id bigint, coverage double, n_tiles bigint, longest bigint, tiles array<struct<doc_at:bigint,item_at:bigint,length:bigint>>",
     )
+    # Of the texts of one id the best covered one counts.
+    best = F.max(F.struct("coverage", -F.col("n_tiles"), "longest", "tiles")).alias("_best")
+    found = rows.select("doc_id", "t1", "t2").join(cut_lineage(marked), ["t1", "t2"]).groupBy("doc_id", "item_id").agg(best)
+    return found.select("doc_id", "item_id", "_best.coverage", (-F.col("_best.col2")).alias("n_tiles"), "_best.longest", "_best.tiles")
 
 
 MARKED = pa.schema([
-    ("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("longest", pa.int64()),
+    ("t1", pa.int64()), ("t2", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("longest", pa.int64()),
     ("tiles", pa.list_(pa.struct([("doc_at", pa.int64()), ("item_at", pa.int64()), ("length", pa.int64())]))),
 ])

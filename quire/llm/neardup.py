@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import IdBits, components, forest, list_column, map_batches, mix, shingle_hashes, texts_of, word_hashes
-from quire.session import cut_lineage
+from quire.session import cut_lineage, discard
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 #: Members of a bucket per tile of the second comparison.
@@ -146,21 +146,24 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
 
 
 def shingle_sets(docs: DataFrame, sought: DataFrame, size: int, text: str) -> DataFrame:
-    """doc_id and the sorted distinct shingle hashes, packed, of at least the texts in ``sought`` (doc_id).
+    """node and the sorted distinct shingle hashes, packed, of the texts in ``sought`` (node, k1, k2, rep: a doc_id that has it).
 
-    Which ids are sought is told by a bit per hash (a table of fixed size), so no
-    text is shuffled; a few others may come along.
+    Which doc_ids are sought is told by a bit per hash (a table of fixed size), so no
+    text is shuffled; the join by the text's key is exact.
     """
-    among = IdBits(sought, "doc_id")
+    among = IdBits(sought, "rep")
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(pa.array(among.test(batch.column("_bit").to_numpy())))
-        hashes, ends = shingle_hashes(*word_hashes(texts_of(batch.column("_text"))), size)
+        words, offsets = word_hashes(texts_of(batch.column("_text")))
+        k1, k2 = text_keys(words, offsets)
+        hashes, ends = shingle_hashes(words, offsets, size)
         sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(ends, ends[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1), pa.array(k2), pa.array(sets, pa.binary())], names=["rep", "k1", "k2", "shingles"])
 
     ids = docs.where("doc_id is not null").select("doc_id", among.bit("doc_id").alias("_bit"), F.col(text).alias("_text"))
-    return map_batches(ids, make, "doc_id bigint, shingles binary").where("length(shingles) > 0")
+    found = map_batches(ids, make, "rep bigint, k1 bigint, k2 bigint, shingles binary").where("length(shingles) > 0")
+    return found.join(sought, ["k1", "k2", "rep"]).select("node", "shingles").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -225,50 +228,55 @@ def near_duplicates(
     ``similarity`` and a band in common (missed with a chance under 1 in 10,000 at a
     Jaccard similarity of 0.8 of the sets, however often their runs repeat). A text of fewer than five words has one run of all
     its words; null texts and those without a word link with nothing. Repeated rows
-    share a class and are all kept if their id is its smallest; rows without
+    share a class and are all kept if their id is its smallest; rows of one id with
+    different texts are texts of their own, each in the class of its text. Rows without
     doc_id get class_id null and kept false. Other columns are ignored, an empty
     table gives an empty one.
     """
     base = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("_text"))
     keyed = cut_lineage(sketch(base, bands, rows, shingle, "_text"))
+    # A text is a node; its rows, whatever their ids, are the node's members.
     groups = cut_lineage(
-        keyed.where("doc_id is not null and k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
+        keyed.where("doc_id is not null and k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
-    reps = keyed.join(groups, (keyed["doc_id"] == groups["rep"]) & (keyed["k1"] == groups["k1"]) & (keyed["k2"] == groups["k2"]), "left_semi").groupBy("doc_id").agg(F.first("bands").alias("bands"))
-    in_bands = reps.select("doc_id", F.explode("bands").alias("band"))
+    in_bands = groups.select("node", F.explode("bands").alias("band"))
     # One row per bucket: its size, its smallest member, and a mark of its members, equal for equal buckets.
     size = F.count("*")
     buckets = in_bands.groupBy("band").agg(
-        size.alias("n"), F.min("doc_id").alias("star"),
-        F.struct(F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")), F.sum(F.hash("doc_id").cast("bigint")), size, F.min("doc_id"), F.max("doc_id")).alias("mark"),
+        size.alias("n"), F.min("node").alias("star"),
+        F.struct(F.sum(F.xxhash64("node").cast("decimal(20,0)")), F.sum(F.hash("node").cast("bigint")), size, F.min("node"), F.max("node")).alias("mark"),
     ).where("n > 1")
     chosen = buckets.groupBy("mark").agg(F.min("band").alias("band"), F.first("n").alias("n"), F.first("star").alias("star"))
-    members = cut_lineage(in_bands.join(chosen.select("band", "n", "star"), "band").select("band", "n", "star", "doc_id"))
-    sought = members.select("doc_id").distinct()
+    members = cut_lineage(in_bands.join(chosen.select("band", "n", "star"), "band").select("band", "n", "star", "node"))
+    sought = cut_lineage(groups.select("node", "k1", "k2", "rep").join(members.select("node").distinct(), "node", "left_semi"))
     sets = cut_lineage(shingle_sets(base, sought, shingle, "_text"))
-    pairs = members.where("doc_id <> star").select(F.col("star").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = members.where("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
     stars = _verified(
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb"),
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb"),
         similarity,
     )
     stars = cut_lineage(stars)
     found = components(stars)
-    placed = members.where("n > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = members.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("band").agg(F.min("component").alias("low_c"), F.max("component").alias("high_c")).where("low_c <> high_c").select("band")
-    open_ = placed.join(split, "band").withColumn("_tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn("_own", F.pmod(F.xxhash64("doc_id"), "_tiles").cast("int"))
+    open_ = placed.join(split, "band").withColumn("_tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), "_tiles").cast("int"))
     spread = open_.select(
-        "band", "doc_id", "component", "_own", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"),
+        "band", "node", "component", "_own", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"),
     ).select(
-        "band", F.least("_own", "_other").alias("t1"), F.greatest("_own", "_other").alias("t2"), F.col("doc_id").alias("doc"), "component",
+        "band", F.least("_own", "_other").alias("t1"), F.greatest("_own", "_other").alias("t2"), F.col("node").alias("doc"), "component",
         (F.col("_own") <= F.col("_other")).alias("low"), (F.col("_own") >= F.col("_other")).alias("high"),
     )
     more = (
-        spread.join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+        spread.join(sets.withColumnRenamed("node", "doc"), "doc")
         .groupBy("band", "t1", "t2").applyInPandas(_tile_links(similarity), "a bigint, b bigint")
     )
     links = cut_lineage(stars.union(more))
-    classes = components(links).select(F.col("node").alias("rep"), "component")
-    final = groups.join(classes, "rep", "left").select("k1", "k2", "n_copies", F.coalesce("component", "rep").alias("class_id"))
+    linked = cut_lineage(components(links).join(groups.select("node", "rep"), "node").select("node", "component", "rep"))
+    names = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
+    classes = linked.join(names, "component").select("node", "class_id")
+    final = cut_lineage(groups.join(classes, "node", "left").select("k1", "k2", "n_copies", F.coalesce("class_id", "rep").alias("class_id")))
+    discard(members, sought, sets, stars, links, linked, groups)
     return keyed.select("doc_id", "k1", "k2").join(final, ["k1", "k2"], "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.lit(False)).alias("kept"),

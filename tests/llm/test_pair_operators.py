@@ -82,6 +82,16 @@ def test_near_duplicates_of_repeated_and_missing_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_texts_of_one_id_are_linked_each_by_itself(spark):
+    rng = random.Random(6)
+    one, two = (rng.choices([f"w{i}" for i in range(4000)], k=60) for _ in range(2))
+    near = two[:58] + ["other", "end"]
+    for order in (1, -1):
+        rows = [(1, " ".join(one)), (1, " ".join(two)), (3, " ".join(near)), (4, " ".join(one[:59] + ["end"])), (5, "nothing like the others at all")][::order]
+        got = sorted((r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+        assert got == [(1, 1), (1, 1), (3, 1), (4, 1), (5, 5)]
+
+
 def repeated_lines(rng):
     """Texts of 20 lines, and near copies of them that have one or two lines 2 to 100 times."""
     pool, texts = [f"w{i}" for i in range(4000)], []
@@ -183,6 +193,17 @@ def test_contamination_of_nothing(spark):
     assert decontaminate.contaminated(some.union(some), items).count() == 1
 
 
+def test_texts_of_one_id_are_not_joined(spark):
+    item = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta")], "item_id bigint, text string")
+    halves = [(5, "alpha beta gamma delta x"), (5, "y epsilon zeta eta theta")]
+    got = decontaminate.contaminated(spark.createDataFrame(halves, "doc_id bigint, text string"), item).collect()
+    assert [(r["doc_id"], r["coverage"], r["longest"]) for r in got] == [(5, 0.5, 4)]
+    assert decontaminate.contaminated(spark.createDataFrame(halves, "doc_id bigint, text string"), item, coverage=0.6).count() == 0
+    whole = halves + [(5, "alpha beta gamma delta epsilon zeta eta theta"), (6, halves[0][1])]
+    got = decontaminate.contaminated(spark.createDataFrame(whole, "doc_id bigint, text string"), item).collect()
+    assert sorted((r["doc_id"], r["coverage"], r["n_tiles"]) for r in got) == [(5, 1.0, 1), (6, 0.5, 1)]
+
+
 # Vectors
 
 
