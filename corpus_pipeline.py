@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is
 written and read again as the next stage's docs. All but the last return the
-columns of ``documents``. Documents are told apart by doc_id.
+columns of ``documents``. The stages decide by row: near-duplicates and contamination
+give every row a stored number, so rows without a doc_id or with the same one are
+told apart. Empty tables give empty ones; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,21 +26,33 @@ GOOD = 0.3
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; it learns from the labels that aren't held out."""
+    """Documents that the quality classifier doesn't reject; it learns from the labels that aren't held out. Null texts count as empty."""
     model = fit_quality(docs, learnable(table(spark, sf_dir, "labels")))
     return score_quality(docs, model, keep=COLUMNS).where(F.col("score") >= GOOD).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, stored, so that it stays the same however often they are read."""
+    return cut_lineage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+
+
 def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    dropped = cut_lineage(near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates: that with the smallest doc_id, rows without one last.
+
+    Of repeated rows and of those that repeat an id one stays as well. Rows without a word are like no other and stay.
+    """
+    rows = numbered(docs)
+    classes = cut_lineage(near_duplicates(rows, doc="_row").select(F.col("doc_id").alias("_row"), "class_id").join(rows.select("_row", "doc_id"), "_row"))
+    first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    dropped = cut_lineage(classes.select("_row").join(first, "_row", "left_anti"))
+    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    leaks = cut_lineage(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows without a passage of the benchmark; null and empty texts have none."""
+    rows = numbered(docs)
+    leaks = cut_lineage(contaminated(rows, table(spark, sf_dir, "benchmark"), doc="_row").select(F.col("doc_id").alias("_row")).distinct())
+    return rows.join(leaks, "_row", "left_anti").select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +63,14 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the ids of every document."""
+    """doc_id, lang, source, n_tokens and the ids of every document; a null text has none."""
     return bpe_encode(docs, keep=("doc_id", "lang", "source"))
 
 
 STAGES = [
     ("quality", keep_good), ("near_duplicates", keep_one_of_a_kind), ("contamination", drop_contaminated), ("personal_data", redact), ("encoding", encode),
 ]
-#: The models and hashes can't be written in SQL; tests/llm/test_pipeline.py has plain versions.
+#: The models and hashes can't be written in SQL; tests/llm/test_pipeline.py checks each stage's decisions.
 ORACLE_SQL = None
 
 
