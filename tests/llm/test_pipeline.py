@@ -1,4 +1,4 @@
-"""The pipeline against plain versions of its decisions, and the queries against their SQL."""
+"""What the stages of the pipeline decide, and the queries against their SQL."""
 
 import random
 from pathlib import Path
@@ -18,7 +18,7 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     query, sql = QUERIES[name]
     cur = con.execute(sql)
@@ -70,7 +70,18 @@ def test_stages_take_effect(spark, tmp_path):
 def test_stages_of_empty_tables(spark, tmp_path):
     folder = write(spark, tmp_path / "t", [])
     assert corpus_pipeline.run(spark, folder).count() == 0
-    docs = [(None, None, None, None, None), (1, "a b c", "en", "x", 5), (1, "a b c", "en", "x", 5)]
+    docs = [(None, None, None, None, None), (1, "a b c", "en", "x", 5), (1, "a b c", "en", "x", 5), (2, None, None, None, None), (2, None, None, None, None)]
     folder = write(spark, tmp_path / "u", docs)
     got = corpus_pipeline.run(spark, folder).collect()
-    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None"]
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "2", "None"]
+
+
+def test_rows_without_an_id_are_judged_as_well(spark, tmp_path):
+    rng = random.Random(2)
+    one, two, item = (" ".join(rng.choices([f"w{i}" for i in range(3000)], k=60)) for _ in range(3))
+    docs = [(None, one, "en", "a", 1), (7, one + " end", "en", "a", 1), (None, two, "en", "b", 1), (None, two, "en", "c", 1), (3, f"{item} tail", "en", "d", 1), (None, f"head {item}", "en", "e", 1), (3, "a clean text of the same id that has words of its own", "en", "f", 1)]
+    folder = write(spark, tmp_path / "t", docs, [], [(1, item)])
+    kept = corpus_pipeline.keep_one_of_a_kind(spark, table(spark, folder, "documents"), folder)
+    assert sorted((r["doc_id"] or 0, r["text"][:9]) for r in kept.collect()) == sorted([(7, one[:9]), (0, two[:9]), (3, item[:9]), (3, "a clean t")])
+    clean = corpus_pipeline.drop_contaminated(spark, table(spark, folder, "documents"), folder)
+    assert sorted(r["source"] for r in clean.collect()) == ["a", "a", "b", "c", "f"]
