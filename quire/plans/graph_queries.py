@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire import fixed_values as V
+from quire.operators import distances as D
 from quire.operators import graph as GR
 from quire.operators import selection as G
 from quire.operators import similarity as H
@@ -210,6 +211,31 @@ def _(spark, folder):
     return GR.closeness_centrality(nodes, GR.shortest_paths(edges)).withColumn("closeness", F.round("closeness", 6))
 
 
+# Every node with those that follow it 20, 40 and 60 ids later, which are of its session.
+@registry.add(
+    "distance_between",
+    f"""WITH {_paths_sql()}, asked AS (SELECT x.session_id, x.id AS a, y.id AS b FROM texts x JOIN texts y ON y.session_id = x.session_id AND y.id - x.id IN (20, 40, 60))
+    SELECT session_id, a, b, round(dist, 6) AS dist FROM asked LEFT JOIN (SELECT session_id, source AS a, node AS b, dist FROM paths) USING (session_id, a, b)""",
+)
+def _(spark, folder):
+    nodes, edges = graph_of(spark, folder)
+    later = nodes.select("session_id", F.col("id").alias("b"))
+    asked = nodes.select("session_id", F.col("id").alias("a"), F.explode(F.array(*[F.lit(k) for k in (20, 40, 60)])).alias("k")).select("session_id", "a", (F.col("a") + F.col("k")).alias("b"))
+    return D.distance_between(D.hub_labels(edges), asked.join(later, ["session_id", "b"])).withColumn("dist", F.round("dist", 6))
+
+
+@registry.add(
+    "closeness_of_most_connected",
+    f"""WITH {_paths_sql()}, top AS (SELECT session_id, node FROM both_ways GROUP BY session_id, node QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, node) <= 5),
+    reached AS (SELECT session_id, source AS node, count(*) - 1 AS r, sum(dist) AS total FROM paths GROUP BY ALL)
+    SELECT t.session_id, t.node, round(CASE WHEN total > 0 AND n > 1 THEN (r / total) * (r::DOUBLE / (n - 1)) ELSE 0.0 END, 6) AS closeness
+    FROM top t JOIN sizes USING (session_id) LEFT JOIN reached x ON x.node = t.node""",
+)
+def _(spark, folder):
+    nodes, edges = graph_of(spark, folder)
+    return D.closeness_of(nodes, D.hub_labels(edges), GR.most_connected(edges)).withColumn("closeness", F.round("closeness", 6))
+
+
 @registry.add("betweenness_centrality")
 def _(spark, folder):
     nodes, edges = graph_of(spark, folder)
