@@ -2,25 +2,29 @@
 
 Texts that are equal after normalisation are one node with a copy count, so a
 group of copies of any size costs one row and its members are listed in
-``copy_members``. Between different texts an exact filter replaces the
-all-pairs matrix: terms are ordered rarest first, and a pair is looked at only
-if the part of both vectors from their first shared term on could still reach
-the threshold.
+``copy_members``. Different texts are dealt into blocks by their number of terms,
+and a pair of blocks is one sparse product in one task; pairs of blocks whose
+lengths and largest counts can't reach the threshold are never shipped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed_values as V
-from quire.functions.text import jaccard_words, length_ratio, let, normalize_text, pair_summary, words
+from quire.functions.text import jaccard_words, length_ratio, normalize_text, pair_summary, words
 from quire.operators.search import tiled, unit_rows
 from quire.session import cut_lineage
 
 TILE_ROWS = 1024
+#: Powers of two up to which the most frequent terms are summed, and term counts per block.
+CLASSES, BLOCK_TERMS = 24, 1 << 21
+#: A term whose pairs are at least this part of all pairs of two blocks is a dense column; columns multiplied and pairs summed at a time.
+DENSE_PART, DENSE_TERMS, SPARSE_PAIRS = 256, 2048, 1 << 22
 
 
 def distinct_texts(docs: DataFrame, text: str = "content") -> DataFrame:
@@ -44,28 +48,34 @@ def copy_members(docs: DataFrame, text: str = "content") -> DataFrame:
     return keyed.join(nodes, ["session_id", "text_key"]).drop("text_key")
 
 
-def ranked_terms(nodes: DataFrame) -> DataFrame:
-    """Terms of each node with their place from rarest to most common.
+# --- term counts: blocks of a sparse product ------------------------------------------
 
-    ``energy`` is the share of the vector's length from this term on, and
-    ``rest`` the number of distinct terms from it on. Both are running totals
-    from the common end, so a node costs one pass.
+def term_counts(nodes: DataFrame) -> DataFrame:
+    """Per node its length in terms and in characters, and the counts of the terms it shares with another node.
+
+    Shared terms get a number (``term_ids``, with ``tfs``); terms of one node alone count
+    for the length only. ``reach`` holds, for the 1, 2, 4, ... most frequent shared terms,
+    their part of the vector's length: no more of it can meet a text of so few terms.
     """
     counted = cut_lineage(
         nodes.select("session_id", "id", F.explode(words("text")).alias("term"))
         .groupBy("session_id", "id", "term").agg(F.count("*").cast("double").alias("tf"))
     )
-    df = counted.groupBy("session_id", "term").agg(F.count("*").alias("df"))
-    square = F.col("tf") * F.col("tf")
-    whole = Window.partitionBy("id")
-    order = whole.orderBy(F.col("df").desc(), F.col("term").desc())
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counted.join(df, ["session_id", "term"]).select(
-        "session_id", "id", "term", "tf",
-        F.sqrt(F.sum(square).over(whole)).alias("norm"),
-        F.count("*").over(whole).alias("terms"),
-        F.sqrt(F.sum(square).over(so_far) / F.sum(square).over(whole)).alias("energy"),
-        F.row_number().over(order).alias("rest"),
+    shared = cut_lineage(
+        counted.groupBy("session_id", "term").agg(F.count("*").alias("df")).where("df > 1")
+        .select("session_id", "term", F.monotonically_increasing_id().alias("term_id"))
+    )
+    whole = counted.groupBy("session_id", "id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"), F.count("*").alias("terms"))
+    posts = counted.join(shared, ["session_id", "term"]).groupBy("session_id", "id").agg(F.collect_list(F.struct("tf", "term_id")).alias("posts"))
+    rows = posts.join(whole, ["session_id", "id"]).join(nodes.select("session_id", "id", "label", "copies", F.length("text").alias("chars")), ["session_id", "id"])
+    most = F.sort_array("posts", asc=False)
+    energy = F.transform(
+        F.sequence(F.lit(0), F.lit(CLASSES - 1)),
+        lambda k: F.aggregate(F.slice("posts", F.lit(1), F.pow(F.lit(2.0), k).cast("int")), F.lit(0.0), lambda acc, p: acc + p["tf"] * p["tf"]),
+    )
+    return rows.withColumn("posts", most).select(
+        "session_id", "id", "label", "copies", "chars", "norm", "terms", F.transform("posts", lambda p: p["term_id"]).alias("term_ids"), F.transform("posts", lambda p: p["tf"]).alias("tfs"),
+        F.transform(energy, lambda e: F.least(F.sqrt(e) / F.col("norm"), F.lit(1.0))).alias("reach"),
     )
 
 
@@ -73,85 +83,145 @@ def _bound(cosine: Column, jaccard: Column, length: Column) -> Column:
     return cosine * V.COSINE_WEIGHT + jaccard * V.JACCARD_WEIGHT + length * V.LENGTH_WEIGHT
 
 
-def candidate_pairs(nodes: DataFrame, ranked: DataFrame, floor: float, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Every pair that can reach ``floor``, and few that cannot.
+def blocks_of(rows: DataFrame, tile_rows: int) -> DataFrame:
+    """``rows`` dealt into blocks of nodes with about as many terms: at most ``tile_rows`` nodes and BLOCK_TERMS counts each."""
+    classed = rows.withColumn("class", F.floor(F.log2("terms")).cast("int"))
+    most = F.least(F.lit(float(tile_rows)), F.lit(float(BLOCK_TERMS)) / F.pow(F.lit(2.0), F.col("class")))
+    sizes = classed.groupBy("session_id", "class").agg(F.count("*").alias("n")).select("session_id", "class", F.ceil(F.greatest(F.col("n") / most, F.lit(1.0))).alias("parts"))
+    return classed.join(sizes, ["session_id", "class"]).withColumn("block", F.col("class") * (1 << 32) + F.pmod(F.xxhash64("id"), "parts")).drop("class", "parts")
 
-    If the first shared term of x and y stands at positions p and q, nothing
-    before them is shared. So the cosine is at most the product of the two
-    remaining lengths, and the overlap at most the smaller remaining count.
-    Terms whose own bound is already below the floor are never joined. Long
-    posting lists of large sessions are split into tiles on both sides.
+
+def block_pairs(blocked: DataFrame, floor: float) -> DataFrame:
+    """(session_id, a, b: blocks, a <= b) whose nodes may reach ``floor``.
+
+    A text of n terms meets at most the n most frequent terms of another one, the words in
+    common are at most those of the shorter, and the length ratio that of the nearest lengths.
     """
-    terms = ranked.select("session_id", "id", "term", "energy", "rest", "terms").join(
-        tiled(nodes.select("session_id", "id", F.length("text").alias("chars")), "session_id", "id", "tile", tile_rows),
-        ["session_id", "id"],
+    summary = blocked.groupBy("session_id", "block").agg(
+        F.min("terms").alias("least"), F.max("terms").alias("most"), F.min("chars").alias("short"), F.max("chars").alias("long"),
+        F.array(*[F.max(F.col("reach")[k]) for k in range(CLASSES)]).alias("reach"),
     )
-    alone = _bound(F.col("energy"), F.col("rest") / F.col("terms"), F.lit(1.0))
-    kept = terms.where(alone >= floor - 1e-9)
-    others = F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))
-    columns = ["id", "energy", "rest", "terms", "chars"]
-
-    def side(name: str, own: str, other: str) -> DataFrame:
-        return kept.select(
-            "session_id", "term", F.col("tile").alias(own), others.alias(other), F.struct(*columns).alias(name)
-        )
+    x = summary.select("session_id", F.struct("block", "least", "most", "short", "long", "reach").alias("x"))
+    y = summary.select("session_id", F.struct("block", "least", "most", "short", "long", "reach").alias("y"))
+    x_, y_ = F.col("x"), F.col("y")
 
-    x, y = F.col("x"), F.col("y")
-    shared = F.least(x["rest"], y["rest"])
-    best = _bound(
-        F.least(x["energy"] * y["energy"], F.lit(1.0)),
-        shared / (x["terms"] + y["terms"] - shared),
-        F.least(x["chars"], y["chars"]) / F.greatest(x["chars"], y["chars"]),
-    )
-    joined = side("x", "tx", "ty").join(side("y", "ty", "tx"), ["session_id", "term", "tx", "ty"])
-    return (
-        joined.where((x["id"] < y["id"]) & (best >= floor - 1e-9))
-        .select("session_id", x["id"].alias("src"), y["id"].alias("dst"))
-        .distinct()
-    )
+    def reach(of: Column, terms: Column) -> Column:
+        return F.get(of["reach"], F.least(F.ceil(F.log2(terms)), F.lit(CLASSES - 1)).cast("int"))
 
+    def ratio(low: str, high: str) -> Column:
+        return F.least(F.lit(1.0), x_[high] / y_[low], y_[high] / x_[low])
 
-def _features(nodes: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Term counts as a map, vector length, distinct terms and text length."""
-    vectors = ranked.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tf"),
-        F.max("norm").alias("norm"), F.max("terms").alias("terms"),
-    )
-    return nodes.select("id", "label", "copies", F.length("text").alias("chars")).join(vectors, "id")
+    best = _bound(F.least(reach(x_, y_["most"]), reach(y_, x_["most"])), ratio("least", "most"), ratio("short", "long"))
+    return x.join(y, "session_id").where((x_["block"] <= y_["block"]) & (best >= floor - 1e-9)).select("session_id", x_["block"].alias("a"), y_["block"].alias("b"))
+
+
+class _Counts:
+    """The counts of one block's nodes, flat."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.rows = rows
+        ids, tfs = (rows.column(c).combine_chunks() for c in ("term_ids", "tfs"))
+        self.term, self.tf = ids.flatten().to_numpy(), tfs.flatten().to_numpy()
+        self.node = np.repeat(np.arange(rows.num_rows), np.diff(ids.offsets.to_numpy()))
+        self.norm, self.terms, self.chars, self.id = (rows.column(c).to_numpy() for c in ("norm", "terms", "chars", "id"))
+
+    def among(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``terms``, node, count) of the counts whose term is listed, by place."""
+        at = np.minimum(np.searchsorted(terms, self.term), len(terms) - 1)
+        own = np.flatnonzero(terms[at] == self.term)
+        own = own[np.argsort(at[own], kind="stable")]
+        return at[own], self.node[own], self.tf[own]
+
+
+def sparse_product(x: _Counts, y: _Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of products of counts, and numbers of common terms, of every node of x with every node of y. Both are whole numbers.
+
+    Terms that many nodes hold are multiplied as dense columns, of the others the pairs are summed up.
+    """
+    shape = len(x.id), len(y.id)
+    dot, common = np.zeros(shape), np.zeros(shape)
+    terms = np.intersect1d(x.term, y.term)
+    if not len(terms):
+        return dot, common
+    (tx, nx, fx), (ty, ny, fy) = x.among(terms), y.among(terms)
+    many_x, many_y = np.bincount(tx, minlength=len(terms)), np.bincount(ty, minlength=len(terms))
+    dense = many_x * many_y * DENSE_PART >= shape[0] * shape[1]
+    columns = np.flatnonzero(dense)
+    place = np.cumsum(dense) - 1
+    for a in range(0, len(columns), DENSE_TERMS):
+        part = np.zeros(len(terms), bool)
+        part[columns[a : a + DENSE_TERMS]] = True
+        left, right = (np.zeros((n, int(part.sum()))) for n in shape)
+        ox, oy = part[tx], part[ty]
+        left[nx[ox], place[tx[ox]] - a], right[ny[oy], place[ty[oy]] - a] = fx[ox], fy[oy]
+        dot += left @ right.T
+        common += (left > 0).astype(np.float32) @ (right > 0).astype(np.float32).T
+    ox = ~dense[tx]
+    tx, nx, fx = tx[ox], nx[ox], fx[ox]
+    begin, many = np.concatenate(([0], np.cumsum(many_y)))[tx], many_y[tx]
+    ends = np.cumsum(many)
+    a = 0
+    while a < len(tx):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SPARSE_PAIRS, "right")))
+        n = many[a:b]
+        of = np.repeat(np.arange(a, b), n)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + begin[of]
+        cell = nx[of] * shape[1] + ny[at]
+        dot += np.bincount(cell, fx[of] * fy[at], minlength=dot.size).reshape(shape)
+        common += np.bincount(cell, minlength=dot.size).reshape(shape)
+        a = b
+    return dot, common
 
 
 def pair_similarity(nodes: DataFrame, floor: float = V.MIN_EDGE_SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs of distinct texts at or above ``floor``.
 
-    0.6 cosine of term counts + 0.3 word overlap + 0.1 length ratio. The term
-    tables are stored once, as several steps read them. ``floor``
+    0.6 cosine of term counts + 0.3 word overlap + 0.1 length ratio. The nodes of a session
+    are dealt into blocks, and every pair of blocks that can reach the floor is
+    one sparse product in one task; a pair of nodes comes up once. ``floor``
     must be above 0.1: texts with no shared word never reach more.
     """
     if floor <= V.LENGTH_WEIGHT:
         raise ValueError("floor must be above the weight of the length ratio")
-    ranked = cut_lineage(ranked_terms(nodes))
-    f = cut_lineage(_features(nodes, ranked))
-    x = f.select([F.col(c).alias(f"x_{c}") for c in f.columns])
-    y = f.select([F.col(c).alias(f"y_{c}") for c in f.columns])
-    pairs = (
-        candidate_pairs(nodes, ranked, floor, tile_rows)
-        .join(x, F.col("src") == F.col("x_id")).join(y, F.col("dst") == F.col("y_id"))
+    stored = cut_lineage(nodes.select("session_id", "id", "label", "copies", "text"))
+    blocked = cut_lineage(blocks_of(term_counts(stored), tile_rows))
+    pairs = cut_lineage(block_pairs(blocked, floor))
+    columns = ["id", "label", "copies", "chars", "norm", "terms", "term_ids", "tfs"]
+
+    def side(own: str, number: int) -> DataFrame:
+        mine = blocked.join(pairs.withColumnRenamed(own, "block"), ["session_id", "block"]) if own == "a" else blocked.join(pairs.where("a <> b").withColumnRenamed(own, "block"), ["session_id", "block"])
+        return mine.withColumnRenamed("block", own).select("session_id", "a", "b", F.lit(number).alias("side"), *columns)
+
+    kinds = dict(nodes.dtypes)
+    schema = (
+        f"session_id {kinds['session_id']}, src {kinds['id']}, dst {kinds['id']}, src_label {kinds['label']}, dst_label {kinds['label']}, src_copies {kinds['copies']}, dst_copies {kinds['copies']}, "
+        "cosine double, jaccard double, length_ratio double, similarity double"
     )
-    products = F.array_compact(F.map_values(F.map_zip_with("x_tf", "y_tf", lambda k, a, b: a * b)))
-    shared = let(
-        products,
-        lambda p: F.struct(F.aggregate(p, F.lit(0.0), lambda acc, v: acc + v).alias("dot"), F.size(p).alias("common")),
-    )
-    common = F.col("_shared.common")
-    scored = pairs.withColumn("_shared", shared).select(
-        "session_id", "src", "dst", F.col("x_label").alias("src_label"), F.col("y_label").alias("dst_label"),
-        F.col("x_copies").alias("src_copies"), F.col("y_copies").alias("dst_copies"),
-        (F.col("_shared.dot") / (F.col("x_norm") * F.col("y_norm"))).alias("cosine"),
-        (common / (F.col("x_terms") + F.col("y_terms") - common)).alias("jaccard"),
-        length_ratio("x_chars", "y_chars").alias("length_ratio"),
-    )
-    blended = _bound(F.col("cosine"), F.col("jaccard"), F.col("length_ratio"))
-    return scored.withColumn("similarity", blended).where(F.col("similarity") >= floor - 1e-12)
+
+    def product(group: pa.Table) -> pa.Table:
+        sides = group.column("side").to_numpy()
+        x = _Counts(group.filter(pa.array(sides == 0)))
+        y = _Counts(group.filter(pa.array(sides == 1))) if (sides == 1).any() else x
+        dot, common = sparse_product(x, y)
+        cosine = dot / (x.norm[:, None] * y.norm)
+        jaccard = common / (x.terms[:, None] + y.terms - common)
+        length = np.minimum(x.chars[:, None], y.chars) / np.maximum(x.chars[:, None], y.chars)
+        similarity = cosine * V.COSINE_WEIGHT + jaccard * V.JACCARD_WEIGHT + length * V.LENGTH_WEIGHT
+        hit = (similarity >= floor - 1e-12) & (common > 0)
+        if y is x:
+            hit &= x.id[:, None] < x.id
+        i, j = np.nonzero(hit)
+        turned = x.id[i] > y.id[j]
+        out = {"session_id": group.column("session_id").take(pa.array(np.zeros(len(i), np.int64)))}
+        for name in ("id", "label", "copies"):
+            both = pa.chunked_array([*x.rows.column(name).chunks, *y.rows.column(name).chunks], x.rows.column(name).type)
+            left, right = i, len(x.id) + j
+            out["src" if name == "id" else f"src_{name}"] = both.take(pa.array(np.where(turned, right, left)))
+            out["dst" if name == "id" else f"dst_{name}"] = both.take(pa.array(np.where(turned, left, right)))
+        out |= {"cosine": cosine[i, j], "jaccard": jaccard[i, j], "length_ratio": length[i, j], "similarity": similarity[i, j]}
+        return pa.table({c: out[c] for c in ("session_id", "src", "dst", "src_label", "dst_label", "src_copies", "dst_copies", "cosine", "jaccard", "length_ratio", "similarity")})
+
+    return side("a", 0).unionByName(side("b", 1)).groupBy("session_id", "a", "b").applyInArrow(product, schema)
 
 
 # --- dense vectors: blocks of a matrix -------------------------------------------

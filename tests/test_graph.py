@@ -162,3 +162,40 @@ def test_measures_of_chosen_sources(spark, small):
     once = values(GR.betweenness_centrality(nodes, edges, paths), "betweenness")
     scaled = values(GR.betweenness_centrality(nodes, edges, paths, sources=few), "betweenness")
     assert scaled == pytest.approx({i: v * len(ids) / 2 for i, v in once.items()})
+
+
+def test_sparse_products_of_rare_and_common_terms(monkeypatch):
+    rng = np.random.default_rng(2)
+    tables = []
+    for n in (40, 25):
+        rows = []
+        for i in range(n):
+            terms = np.unique(np.r_[rng.integers(0, 5, 4), rng.integers(5, 4000, 60)])
+            rows.append({"id": i, "term_ids": terms.tolist(), "tfs": rng.integers(1, 9, len(terms)).astype(float).tolist(), "norm": 1.0, "terms": len(terms), "chars": 9})
+        tables.append(H.pa.Table.from_pylist(rows))
+    dense = []
+    for t in tables:
+        m = np.zeros((t.num_rows, 4000))
+        for i, r in enumerate(t.to_pylist()):
+            m[i, r["term_ids"]] = r["tfs"]
+        dense.append(m)
+    for part, columns, pairs in ((256, 2048, 1 << 22), (1, 3, 50), (10**9, 7, 1)):
+        monkeypatch.setattr(H, "DENSE_PART", part)
+        monkeypatch.setattr(H, "DENSE_TERMS", columns)
+        monkeypatch.setattr(H, "SPARSE_PAIRS", pairs)
+        dot, common = H.sparse_product(*(H._Counts(t) for t in tables))
+        assert np.array_equal(dot, dense[0] @ dense[1].T)
+        assert np.array_equal(common, (dense[0] > 0).astype(int) @ (dense[1] > 0).astype(int).T)
+
+
+def test_blocks_of_other_lengths_are_not_compared(spark):
+    words = [f"term{i}" for i in range(4000)]
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.sample(words, 3000))) for i in range(4)] + [(10 + i, " ".join(words[i * 3 : i * 3 + 5])) for i in range(40)]
+    rows = spark.createDataFrame([("s", i, f"name {i}.pdf", t) for i, t in docs], "session_id string, doc_id long, doc_name string, content string")
+    blocked = H.blocks_of(H.term_counts(H.distinct_texts(rows)), 8)
+    pairs = H.block_pairs(blocked, 0.35).collect()
+    n = blocked.select("block").distinct().count()
+    assert 0 < len(pairs) < n * (n + 1) // 2
+    long = {r["block"] for r in blocked.where("id < 10").select("block").distinct().collect()}
+    assert not any((r["a"] in long) != (r["b"] in long) for r in pairs)
