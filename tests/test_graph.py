@@ -189,7 +189,7 @@ def test_sparse_products_of_rare_and_common_terms(monkeypatch):
 
 
 def test_blocks_of_other_lengths_are_not_compared(spark):
-    words = [f"term{i}" for i in range(4000)]
+    words = ["".join(chr(97 + int(d)) for d in f"{i:04d}") + "word" for i in range(4000)]
     rng = random.Random(3)
     docs = [(i, " ".join(rng.sample(words, 3000))) for i in range(4)] + [(10 + i, " ".join(words[i * 3 : i * 3 + 5])) for i in range(40)]
     rows = spark.createDataFrame([("s", i, f"name {i}.pdf", t) for i, t in docs], "session_id string, doc_id long, doc_name string, content string")
