@@ -309,6 +309,31 @@ def tiled(rows: DataFrame, key: str, by: str, out: str, tile_rows: int) -> DataF
     )
 
 
+def best_of_tile(k: int):
+    """Cosines of the questions of one tile (right) with its vectors (left): the best ``k`` of each question."""
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", "session_id", "doc_id", "chunk_id", "score"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
+        left = left.sort_values("chunk_id", kind="stable").reset_index(drop=True)
+        scores = np.round(unit_rows(right["query_vec"]) @ unit_rows(left["embedding"]).T, 12)
+        order = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+        picked = order.ravel()
+        owner = np.repeat(np.arange(len(right)), order.shape[1])
+        return pd.DataFrame(
+            {
+                "query_id": right["query_id"].to_numpy()[owner],
+                "session_id": left["session_id"].to_numpy()[picked],
+                "doc_id": left["doc_id"].to_numpy()[picked],
+                "chunk_id": left["chunk_id"].to_numpy()[picked],
+                "score": scores[owner, picked],
+            }
+        )
+
+    return best
+
+
 def semantic_scores(
     vectors: DataFrame, queries: DataFrame, k: int = V.DEFAULT_TOP_K, tile_rows: int = TILE_ROWS
 ) -> DataFrame:
@@ -329,28 +354,9 @@ def semantic_scores(
     ).drop("qtiles")
     tile = ["session_id", "vtile", "qtile"]
 
-    def best_of_tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "session_id", "doc_id", "chunk_id", "score"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        left = left.sort_values("chunk_id", kind="stable").reset_index(drop=True)
-        scores = np.round(unit_rows(right["query_vec"]) @ unit_rows(left["embedding"]).T, 12)
-        order = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
-        picked = order.ravel()
-        owner = np.repeat(np.arange(len(right)), order.shape[1])
-        return pd.DataFrame(
-            {
-                "query_id": right["query_id"].to_numpy()[owner],
-                "session_id": left["session_id"].to_numpy()[picked],
-                "doc_id": left["doc_id"].to_numpy()[picked],
-                "chunk_id": left["chunk_id"].to_numpy()[picked],
-                "score": scores[owner, picked],
-            }
-        )
-
     kinds = {**dict(vectors.dtypes), **dict(queries.dtypes)}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ["query_id", "session_id", "doc_id", "chunk_id"]) + ", score double"
-    return v.groupBy(*tile).cogroup(q.groupBy(*tile)).applyInPandas(best_of_tile, schema)
+    return v.groupBy(*tile).cogroup(q.groupBy(*tile)).applyInPandas(best_of_tile(k), schema)
 
 
 def semantic_search(

@@ -9,6 +9,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from quire.operators import search as Q
+from quire.operators import vector_cells as C
 from quire.operators.stemming import stem_vocabulary
 from quire.plans import fixtures as X
 from quire.plans import sqltext as S
@@ -223,7 +224,16 @@ def semantic_hits(spark, folder, k=5):
     return Q.semantic_search(X.vectors(spark, folder), X.search_requests(spark, folder), k)
 
 
-@registry.add("semantic_search", f"WITH {SEMANTIC} SELECT query_id, session_id, doc_id, chunk_id, rank, round(score, 6) AS score FROM semantic_hits")
+_SEMANTIC_COLUMNS = "query_id, session_id, doc_id, chunk_id, rank, round(score, 6) AS score"
+
+
+@registry.add("semantic_search_cells", f"WITH {SEMANTIC} SELECT {_SEMANTIC_COLUMNS} FROM semantic_hits")
+def _(spark, folder):
+    hits, _ = C.nearest_in_cells(C.build_cells(X.vectors(spark, folder)), X.search_requests(spark, folder), 5)
+    return hits.select("query_id", "session_id", "doc_id", "chunk_id", big("rank").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@registry.add("semantic_search", f"WITH {SEMANTIC} SELECT {_SEMANTIC_COLUMNS} FROM semantic_hits")
 def _(spark, folder):
     return semantic_hits(spark, folder).select(
         "query_id", "session_id", "doc_id", "chunk_id", big("rank").alias("rank"), F.round("score", 6).alias("score")
