@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
+from quire.operators import matching as M
 from quire.operators import search as Q
 from quire.operators import vector_cells as C
 from quire.operators.stemming import stem_vocabulary
@@ -205,6 +206,30 @@ def _(spark, folder):
     return Q.match_phrase(X.chunks(spark, folder), asked)
 
 
+# Of each question's words: ((w1 or w2's beginning) and w1 near w3) or "w2 w3", without w5.
+@registry.add(
+    "match_expression",
+    f"""WITH {X.SEARCH_REQUESTS}, {X.CHUNKS}, w AS (SELECT query_id, session_id, {S.tokens('query_text')} AS w FROM search_requests),
+    t AS (SELECT session_id, chunk_id, {S.tokens('content')} AS toks FROM chunks)
+    SELECT query_id, chunk_id FROM w JOIN t USING (session_id) WHERE
+      (((list_contains(toks, w[1]) OR len(list_filter(toks, lambda x: starts_with(x, left(w[2], 3)))) > 0)
+        AND len(list_filter(range(1, len(toks) + 1), lambda i: list_contains(toks[i:i + 31], w[1]) AND list_contains(toks[i:i + 31], w[3]) AND (toks[i] = w[1] OR toks[i] = w[3]))) > 0)
+       OR contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || w[2] || ' ' || w[3] || ' ')) AND NOT list_contains(toks, w[5])""",
+)
+def _(spark, folder):
+    word = Q.tokens(F.col("query_text"))
+    w = [F.get(word, F.lit(i)) for i in range(5)]
+    steps = [
+        ("phrase", w[0], 0), ("prefix", F.substring(w[1], 1, 3), 0), ("or", F.lit(""), 0), ("near", F.concat_ws(" ", w[0], w[2]), 30), ("and", F.lit(""), 0),
+        ("phrase", F.concat_ws(" ", w[1], w[2]), 0), ("or", F.lit(""), 0), ("phrase", w[4], 0), ("without", F.lit(""), 0),
+    ]
+    column = F.array(*[F.struct(F.lit(op).alias("op"), words.alias("words"), F.lit(d).cast("int").alias("distance")) for op, words, d in steps])
+    asked = X.search_requests(spark, folder).select("query_id", "session_id", column.alias("steps"))
+    path = scratch_path(spark, "positions")
+    M.write_positions(M.build_positions(X.chunks(spark, folder)), path)
+    return M.match(M.read_positions(spark, path), asked)
+
+
 @registry.add(
     "minmax_normalize",
     f"WITH {X.CORPUS} SELECT session_id, doc_id, round((length(text) - min(length(text)) OVER (PARTITION BY session_id))::DOUBLE / nullif(max(length(text)) OVER (PARTITION BY session_id) - min(length(text)) OVER (PARTITION BY session_id), 0), 6) AS normalized FROM corpus",
