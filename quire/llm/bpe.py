@@ -59,8 +59,9 @@ Step = tuple[dict, tuple[int, ...] | None, int, int]
 class Transducer:
     """Encodes the pieces of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], states: int | None = None) -> None:
         self.ranks = ranks
+        self.limit = STATE_LIMIT if states is None else states
         self.bytes_of = {v: k for k, v in ranks.items()}
         #: The trie: node * 256 + byte -> node; and the token that ends at a node (-1: none).
         self.trie: dict[int, int] = {}
@@ -85,7 +86,7 @@ class Transducer:
     def state(self, key: Key) -> dict:
         if (found := self.states.get(key)) is None:
             found = {-1: key}
-            if len(self.states) < STATE_LIMIT:
+            if len(self.states) < self.limit:
                 self.states[key] = found
         return found
 
@@ -184,16 +185,16 @@ class Pieces(dict):
     still in use come back from there.
     """
 
-    def __init__(self, transducer: Transducer) -> None:
+    def __init__(self, transducer: Transducer, limit: int) -> None:
         super().__init__()
-        self.transducer, self.elder = transducer, {}
+        self.transducer, self.elder, self.limit = transducer, {}, limit
 
     def __missing__(self, piece: str) -> bytes:
         if (packed := self.elder.get(piece)) is None:
             ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
             packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
-            if len(self) >= PIECE_LIMIT:
+            if len(self) >= self.limit:
                 self.elder = dict(self)
                 self.clear()
             self[piece] = packed
@@ -239,14 +240,15 @@ def stream_decode(ids: Iterable[int], bytes_of: list[bytes]) -> Iterator[str]:
 
 
 #: Tables of this process, kept from task to task.
-_encoders: dict[tuple[str, str], tuple[Pieces, regex.Pattern]] = {}
+_encoders: dict[tuple, tuple[Pieces, regex.Pattern]] = {}
 _decoders: dict[str, list[bytes]] = {}
 
 
-def _encoder(path: str, pattern: str) -> tuple[Pieces, regex.Pattern]:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Pieces(Transducer(read_ranks(path))), regex.compile(pattern)
-    return _encoders[path, pattern]
+def _encoder(path: str, pattern: str, states: int = STATE_LIMIT, pieces: int = PIECE_LIMIT) -> tuple[Pieces, regex.Pattern]:
+    key = path, pattern, states, pieces
+    if key not in _encoders:
+        _encoders[key] = Pieces(Transducer(read_ranks(path), states), pieces), regex.compile(pattern)
+    return _encoders[key]
 
 
 def _decoder(path: str) -> list[bytes]:
@@ -278,7 +280,7 @@ def _decoded(ids: list[int], bytes_of: list[bytes]) -> Iterator[tuple[bytes, str
 
 def bpe_encode(
     docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN,
-    text: str = "text", keep: tuple[str, ...] = ("doc_id",), packed: bool = False,
+    text: str = "text", keep: tuple[str, ...] = ("doc_id",), packed: bool = False, states: int = STATE_LIMIT, cached: int = PIECE_LIMIT,
 ) -> DataFrame:
     """``keep`` columns, ``n_tokens`` long and ``ids`` (array of int, or packed little-endian bytes).
 
@@ -286,13 +288,14 @@ def bpe_encode(
     left out, as by the tokenizer itself. Null and empty texts have no ids. Rows
     are independent: repeated rows give repeated results, other columns are ignored,
     an empty table gives an empty one. A text needs memory in proportion to its length.
+    ``states`` and ``cached`` (pieces) bound the tables of a process, not the results.
     """
     path = ranks_path or public_tokenizers.path(DEFAULT_RANKS)
     kept = docs.select(*keep).schema
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        pieces, split = _encoder(path, pattern)
+        pieces, split = _encoder(path, pattern, states, cached)
         out = list(_packed_ids(texts_of(batch.column("_text")), pieces, split))
         counts = np.array([len(b) // 4 for b in out], np.int64)
         if packed:
