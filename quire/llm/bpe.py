@@ -62,6 +62,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int | None = None) -> None:
         self.ranks = ranks
         self.limit = STATE_LIMIT if states is None else states
+        self.most_follows = min(FOLLOW_LIMIT, 5 * self.limit)
         self.bytes_of = {v: k for k, v in ranks.items()}
         #: The trie: node * 256 + byte -> node; and the token that ends at a node (-1: none).
         self.trie: dict[int, int] = {}
@@ -130,7 +131,7 @@ class Transducer:
             if source < 0 and (found := self.token_at[child]) >= 0:
                 key = (last + 1) << 24 | found
                 if (fits := self.follows.get(key)) is None:
-                    if len(self.follows) >= FOLLOW_LIMIT:
+                    if len(self.follows) >= self.most_follows:
                         self.follows.clear()
                     fits = self.follows[key] = self.may_follow(last, found)
                 if fits:
@@ -239,7 +240,7 @@ def stream_decode(ids: Iterable[int], bytes_of: list[bytes]) -> Iterator[str]:
         yield part
 
 
-#: Tables of this process, kept from task to task.
+#: Tables of this process, kept from task to task unless released.
 _encoders: dict[tuple, tuple[Pieces, regex.Pattern]] = {}
 _decoders: dict[str, list[bytes]] = {}
 
@@ -251,6 +252,10 @@ def _encoder(path: str, pattern: str, states: int = STATE_LIMIT, pieces: int = P
     return _encoders[key]
 
 
+def _release() -> None:
+    _encoders.clear()
+
+
 def _decoder(path: str) -> list[bytes]:
     if path not in _decoders:
         ranks = read_ranks(path)
@@ -281,6 +286,7 @@ def _decoded(ids: list[int], bytes_of: list[bytes]) -> Iterator[tuple[bytes, str
 def bpe_encode(
     docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN,
     text: str = "text", keep: tuple[str, ...] = ("doc_id",), packed: bool = False, states: int = STATE_LIMIT, cached: int = PIECE_LIMIT,
+    release: bool = False,
 ) -> DataFrame:
     """``keep`` columns, ``n_tokens`` long and ``ids`` (array of int, or packed little-endian bytes).
 
@@ -288,7 +294,8 @@ def bpe_encode(
     left out, as by the tokenizer itself. Null and empty texts have no ids. Rows
     are independent: repeated rows give repeated results, other columns are ignored,
     an empty table gives an empty one. A text needs memory in proportion to its length.
-    ``states`` and ``cached`` (pieces) bound the tables of a process, not the results.
+    ``states`` and ``cached`` (pieces) bound the tables of a process, not the results; with
+    ``release`` they live for one task, so that the process has room for other work.
     """
     path = ranks_path or public_tokenizers.path(DEFAULT_RANKS)
     kept = docs.select(*keep).schema
@@ -306,7 +313,7 @@ def bpe_encode(
 
     return map_batches(
         docs.select(*keep, docs[text].cast("string").alias("_text")), encode,
-        f"{kinds}, n_tokens bigint, ids {'binary' if packed else 'array<int>'}",
+        f"{kinds}, n_tokens bigint, ids {'binary' if packed else 'array<int>'}", _release if release else None,
     )
 
 

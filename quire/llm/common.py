@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.session import cut_lineage, discard
 
 #: Bytes of text hashed at a time: bounds the work arrays whatever the length of a text.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 #: Rows that an operator's function gets at a time: its work arrays follow these and not the batch.
 SLICE = 500
 WORD = np.zeros(256, bool)
@@ -27,13 +27,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch, SLICE rows at a time; it yields any number of batches of ``schema``."""
+def map_batches(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, after: Callable[[], None] | None = None
+) -> DataFrame:
+    """``fn`` over every Arrow batch, SLICE rows at a time; it yields any number of batches of ``schema``.
+
+    ``after`` runs at the end of each task, also of one that fails.
+    """
 
     def each(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, SLICE):
-                yield from fn(batch.slice(a, SLICE))
+        try:
+            for batch in batches:
+                for a in range(0, batch.num_rows, SLICE):
+                    yield from fn(batch.slice(a, SLICE))
+        finally:
+            if after is not None:
+                after()
 
     return df.mapInArrow(each, schema)
 

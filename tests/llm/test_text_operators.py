@@ -109,7 +109,7 @@ def test_bpe_equals_the_tokenizer_and_round_trips(docs, reference_encoding):
     arrays = {(r["doc_id"], r["text"]): r["ids"] for r in bpe.bpe_encode(docs, keep=("doc_id", "text")).collect()}
     rows = bpe.bpe_decode(packed, keep=("doc_id", "text", "n_tokens", "ids")).collect()
     assert len(rows) == docs.count()
-    small = bpe.bpe_encode(docs, keep=("doc_id", "text"), states=5, cached=3).collect()
+    small = bpe.bpe_encode(docs, keep=("doc_id", "text"), states=5, cached=3, release=True).collect()
     assert {(r["doc_id"], r["text"]): r["ids"] for r in small} == arrays
     for r in rows:
         ids = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
