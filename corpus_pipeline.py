@@ -64,8 +64,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the ids of every document; a null text has none."""
-    # Workers still hold memory of the stages before, so the encoder's tables are smaller than by default.
-    return bpe_encode(docs, keep=("doc_id", "lang", "source"), states=50_000, cached=120_000)
+    # Workers still hold memory of the stages before and serve those of the next run, so the encoder's tables are small and live for one task.
+    return bpe_encode(docs, keep=("doc_id", "lang", "source"), states=20_000, cached=60_000, release=True)
 
 
 STAGES = [
