@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
+from quire.operators import block_postings as B
 from quire.operators import matching as M
 from quire.operators import search as Q
 from quire.operators import vector_cells as C
@@ -405,3 +406,17 @@ def term_search_sql(requests: str, k: int, name: str = "term_hits") -> str:
 def _(spark, folder):
     hits = Q.term_search(X.chunks(spark, folder), X.user_requests(spark, folder))
     return hits.select("query_id", "chunk_id", big("rank").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def block_hits(spark, folder, asked, mode):
+    return _hit_columns(B.block_search(B.build_block_index(index_for(spark, folder, asked)), asked, mode=mode))
+
+
+@registry.add("keyword_search_blocks", f"WITH {X.SEARCH_REQUESTS}, {bm25_sql('search_requests', 'any')} SELECT {_HIT_COLUMNS} FROM keyword_hits")
+def _(spark, folder):
+    return block_hits(spark, folder, X.search_requests(spark, folder), "any")
+
+
+@registry.add("keyword_search_blocks_all", f"WITH {SHORT}, {bm25_sql('short_requests', 'all')} SELECT {_HIT_COLUMNS} FROM keyword_hits")
+def _(spark, folder):
+    return block_hits(spark, folder, short_requests(spark, folder), "all")
