@@ -349,6 +349,20 @@ def _local_moves(links: DataFrame) -> DataFrame:
         number += 1
 
 
+def _connected_parts(links: DataFrame, level: DataFrame) -> DataFrame:
+    """``level`` with every community split into its connected parts, each named by its smallest node.
+
+    A node that held two halves together may have moved on. No link runs between such
+    parts, so splitting them raises the modularity.
+    """
+    scope = F.struct("session_id", "resolution").alias("session_id")
+    mine = level.select("session_id", "resolution", "node", "community")
+    theirs = mine.withColumnsRenamed({"node": "peer", "community": "other"})
+    inner = links.where("node < peer").join(mine, ["session_id", "resolution", "node"]).join(theirs, ["session_id", "resolution", "peer"]).where("community = other")
+    parts = connected_components(level.select(scope, F.col("node").alias("id")), inner.select(scope, F.col("node").alias("src"), F.col("peer").alias("dst")))
+    return cut_lineage(parts.select("session_id.session_id", "session_id.resolution", "node", F.col("component").alias("community")))
+
+
 def communities(
     nodes: DataFrame, edges: DataFrame, resolutions: list[float] = V.RESOLUTIONS
 ) -> DataFrame:
@@ -364,7 +378,7 @@ def communities(
     scope = ["session_id", "resolution"]
     partition = links.select(*scope, "node", F.col("node").alias("community")).distinct()
     while True:
-        level = _local_moves(links)
+        level = _connected_parts(links, _local_moves(links))
         if level.where("node <> community").isEmpty():
             break
         lifted = level.select(*scope, F.col("node").alias("community"), F.col("community").alias("upper"))

@@ -199,3 +199,17 @@ def test_blocks_of_other_lengths_are_not_compared(spark):
     assert 0 < len(pairs) < n * (n + 1) // 2
     long = {r["block"] for r in blocked.where("id < 10").select("block").distinct().collect()}
     assert not any((r["a"] in long) != (r["b"] in long) for r in pairs)
+
+
+def test_communities_are_split_into_connected_parts(spark):
+    # 0-1-2 and 3-4 are called one community, though no link runs between them; 5 and 6 are another
+    ways = [(0, 1), (1, 2), (3, 4), (2, 5), (3, 6), (5, 6)]
+    rows = [("s", r, a, b, 1.0) for r in (0.5, 1.0) for x, y in ways for a, b in ((x, y), (y, x))]
+    links = spark.createDataFrame(rows, "session_id string, resolution double, node long, peer long, weight double")
+    level = spark.createDataFrame([("s", r, n, 3 if n < 5 else 6) for r in (0.5, 1.0) for n in range(7)], "session_id string, resolution double, node long, community long")
+    parts = GR._connected_parts(links, level)
+    want = {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5}
+    assert {(r["resolution"], r["node"]): r["community"] for r in parts.collect()} == {(r, n): c for r in (0.5, 1.0) for n, c in want.items()}
+    edges = spark.createDataFrame([("s", x, y, 1.0) for x, y in ways], "session_id string, src long, dst long, weight double")
+    before, after = (GR.modularity(edges, p.where("resolution = 1.0")).first()["modularity"] for p in (level, parts))
+    assert after > before
