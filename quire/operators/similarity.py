@@ -65,8 +65,13 @@ def term_counts(nodes: DataFrame) -> DataFrame:
         counted.groupBy("session_id", "term").agg(F.count("*").alias("df")).where("df > 1")
         .select("session_id", "term", F.monotonically_increasing_id().alias("term_id"))
     )
+    return count_rows(nodes, counted, shared)
+
+
+def count_rows(nodes: DataFrame, counted: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The rows of ``term_counts`` from counts (session_id, id, term, tf) and the numbers of the terms that may be shared."""
     whole = counted.groupBy("session_id", "id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"), F.count("*").alias("terms"))
-    posts = counted.join(shared, ["session_id", "term"]).groupBy("session_id", "id").agg(F.collect_list(F.struct("tf", "term_id")).alias("posts"))
+    posts = counted.join(numbered, ["session_id", "term"]).groupBy("session_id", "id").agg(F.collect_list(F.struct("tf", "term_id")).alias("posts"))
     rows = posts.join(whole, ["session_id", "id"]).join(nodes.select("session_id", "id", "label", "copies", F.length("text").alias("chars")), ["session_id", "id"])
     most = F.sort_array("posts", asc=False)
     energy = F.transform(
@@ -185,14 +190,18 @@ def pair_similarity(nodes: DataFrame, floor: float = V.MIN_EDGE_SIMILARITY, tile
         raise ValueError("floor must be above the weight of the length ratio")
     stored = cut_lineage(nodes.select("session_id", "id", "label", "copies", "text"))
     blocked = cut_lineage(blocks_of(term_counts(stored), tile_rows))
-    pairs = cut_lineage(block_pairs(blocked, floor))
+    return compare_blocks(blocked, cut_lineage(block_pairs(blocked, floor)), floor)
+
+
+def compare_blocks(blocked: DataFrame, pairs: DataFrame, floor: float) -> DataFrame:
+    """The pairs of nodes at or above ``floor`` in the given pairs of blocks (session_id, a, b)."""
     columns = ["id", "label", "copies", "chars", "norm", "terms", "term_ids", "tfs"]
 
     def side(own: str, number: int) -> DataFrame:
         mine = blocked.join(pairs.withColumnRenamed(own, "block"), ["session_id", "block"]) if own == "a" else blocked.join(pairs.where("a <> b").withColumnRenamed(own, "block"), ["session_id", "block"])
         return mine.withColumnRenamed("block", own).select("session_id", "a", "b", F.lit(number).alias("side"), *columns)
 
-    kinds = dict(nodes.dtypes)
+    kinds = dict(blocked.dtypes)
     schema = (
         f"session_id {kinds['session_id']}, src {kinds['id']}, dst {kinds['id']}, src_label {kinds['label']}, dst_label {kinds['label']}, src_copies {kinds['copies']}, dst_copies {kinds['copies']}, "
         "cosine double, jaccard double, length_ratio double, similarity double"

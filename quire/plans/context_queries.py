@@ -10,7 +10,7 @@ from quire.operators import similarity as H
 from quire.operators import graph as GR
 from quire.plans import fixtures as X
 from quire.plans import sqltext as S
-from quire.plans.graph_queries import EDGES, _COMPONENTS, documents, graph_of
+from quire.plans.graph_queries import COMPONENTS, EDGES, documents, graph_of
 from quire.plans.persona_queries import HITS, RANKED, request_hits
 from quire.plans.registry import Registry
 
@@ -115,7 +115,7 @@ def _(spark, folder):
 
 @registry.add(
     "community_context",
-    f"""WITH {_COMPONENTS}, first AS (SELECT component, node, row_number() OVER (PARTITION BY component ORDER BY node) AS r FROM components QUALIFY r <= 3)
+    f"""WITH {COMPONENTS}, first AS (SELECT component, node, row_number() OVER (PARTITION BY component ORDER BY node) AS r FROM components QUALIFY r <= 3)
     SELECT component AS community, string_agg('Doc' || r || ': ' || {S.truncate_sentences('content', 200)} || chr(10), '' ORDER BY r) AS context FROM first JOIN docs ON doc_id = node GROUP BY 1""",
 )
 def _(spark, folder):

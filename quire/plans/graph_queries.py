@@ -122,19 +122,19 @@ def _(spark, folder):
 _EDGE = "session_id, src, dst, src_copies, dst_copies, relationship, round(weight, 6) AS weight"
 
 
-def _edge_columns(e):
+def edge_columns(e):
     return e.select("session_id", "src", "dst", "src_copies", "dst_copies", "relationship", F.round("weight", 6).alias("weight"))
 
 
 @registry.add("classify_edges", f"WITH {EDGES} SELECT {_EDGE}, summary FROM edges")
 def _(spark, folder):
     e = graph_of(spark, folder)[1]
-    return _edge_columns(e.select("*")).join(e.select("src", "dst", "summary"), ["src", "dst"])
+    return edge_columns(e.select("*")).join(e.select("src", "dst", "summary"), ["src", "dst"])
 
 
 @registry.add("classify_edges_user_threshold", f"WITH {BASE}, {edges_sql(0.55)} SELECT {_EDGE} FROM edges")
 def _(spark, folder):
-    return _edge_columns(H.build_edges(H.distinct_texts(documents(spark, folder)), 0.55))
+    return edge_columns(H.build_edges(H.distinct_texts(documents(spark, folder)), 0.55))
 
 
 # Names cut to their first blank-separated words, so that some are short or equal.
@@ -257,18 +257,18 @@ def _(spark, folder):
     return GR.most_important(GR.centrality(*graph_of(spark, folder))).select("session_id", "node", "composite", "rank")
 
 
-_COMPONENTS = f"""RECURSIVE {EDGES}, {_BOTH}, reach AS (SELECT id AS root, id AS node FROM texts UNION SELECT r.root, b.peer FROM reach r JOIN both_ways b ON b.node = r.node),
+COMPONENTS = f"""RECURSIVE {EDGES}, {_BOTH}, reach AS (SELECT id AS root, id AS node FROM texts UNION SELECT r.root, b.peer FROM reach r JOIN both_ways b ON b.node = r.node),
 components AS (SELECT t.session_id, node, min(root) AS component FROM reach JOIN texts t ON t.id = node GROUP BY ALL)"""
 
 
-@registry.add("connected_components", f"WITH {_COMPONENTS} SELECT session_id, node, component FROM components")
+@registry.add("connected_components", f"WITH {COMPONENTS} SELECT session_id, node, component FROM components")
 def _(spark, folder):
     return GR.connected_components(*graph_of(spark, folder))
 
 
 @registry.add(
     "modularity",
-    f"""WITH {_COMPONENTS}, total AS (SELECT session_id, sum(weight) AS m FROM edges GROUP BY 1),
+    f"""WITH {COMPONENTS}, total AS (SELECT session_id, sum(weight) AS m FROM edges GROUP BY 1),
     mass AS (SELECT b.session_id, component, sum(weight) AS k FROM both_ways b JOIN components c ON c.node = b.node GROUP BY ALL),
     inside AS (SELECT e.session_id, component, sum(weight) AS w FROM edges e JOIN components c ON c.node = e.src GROUP BY ALL)
     SELECT session_id, round(sum(coalesce(w, 0) / m - power(k / (2 * m), 2)), 6) AS modularity FROM mass LEFT JOIN inside USING (session_id, component) JOIN total USING (session_id) GROUP BY 1""",
@@ -289,7 +289,7 @@ _DOC_PAIRS = """doc_edges AS (SELECT session_id, sum(src_copies * dst_copies) AS
 
 @registry.add(
     "graph_stats",
-    f"""WITH {_COMPONENTS}, docs_all AS (SELECT session_id, count(*) AS n FROM normed GROUP BY 1),
+    f"""WITH {COMPONENTS}, docs_all AS (SELECT session_id, count(*) AS n FROM normed GROUP BY 1),
     inner_pairs AS (SELECT a.session_id, count(*) AS c FROM normed a JOIN normed b ON a.session_id = b.session_id AND a.norm = b.norm AND a.doc_id < b.doc_id AND a.norm <> '' GROUP BY 1),
     outer_pairs AS (SELECT e.session_id, count(*) AS c FROM edges e JOIN texts x ON x.id = e.src JOIN texts y ON y.id = e.dst
       JOIN normed a ON a.session_id = e.session_id AND a.norm = x.norm JOIN normed b ON b.session_id = e.session_id AND b.norm = y.norm GROUP BY 1),
