@@ -130,36 +130,41 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)\.pdf$", "")
 
 
-def _parts(names: DataFrame, column: str) -> DataFrame:
-    """Every substring of a name, the empty one included, once each."""
+def _parts(names: DataFrame, column: str, other: DataFrame, key: str) -> DataFrame:
+    """The parts of each name, as ``part``, that are as long as some name of the other side in the session; the empty part isn't among them."""
     n = F.length(column)
-    starts = names.withColumn("_s", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))))
-    ends = starts.withColumn("_n", F.explode(F.sequence(F.lit(0), n - F.col("_s") + 1)))
-    return ends.withColumn("part", F.expr(f"substr({column}, _s, _n)")).drop("_s", "_n").distinct()
+    lengths = other.where(F.length(key) > 0).select("session_id", F.length(key).alias("_n")).distinct()
+    sized = names.join(lengths, "session_id").where(F.col("_n") <= n)
+    return sized.withColumn("_s", F.explode(F.sequence(F.lit(1), n - F.col("_n") + 1))).withColumn("part", F.expr(f"substr({column}, _s, _n)")).drop("_s", "_n")
 
 
 def match_document_names(refs: DataFrame, documents: DataFrame) -> DataFrame:
     """The first document, in order, whose name fits a reference.
 
     A name fits when it is equal, equal without ``.pdf``, or when either
-    contains the other, with or without the ending. Names are short, so each
-    side lists its substrings and containment becomes an equality join: work
-    grows with the names, not with their pairs. ``refs``: session_id, ref;
-    ``documents``: session_id, doc_id, doc_name, position.
+    contains the other, with or without the ending. A name is cut only at the
+    lengths that occur on the other side, so containment becomes an equality join, and the
+    first document per part is taken before it: a part that many names share is one
+    row. Empty names stand in every name and are met per session. Null names fit nothing.
+    ``refs``: session_id, ref; ``documents``: session_id, doc_id, doc_name, position.
     """
-    asked = refs.select("session_id", "ref").distinct()
-    listed = documents.select("session_id", "doc_name").distinct()
-    found = None
+    asked = refs.where("ref is not null").select("session_id", "ref").distinct()
+    listed = documents.where("doc_name is not null").select("session_id", "doc_name", F.struct("position", "doc_id", "doc_name").alias("d"))
+    found = []
     for bare in (False, True):
         r = asked.withColumn("key", _bare(F.col("ref")) if bare else F.col("ref"))
-        d = listed.withColumn("name", _bare(F.col("doc_name")) if bare else F.col("doc_name"))
-        inside_name = _parts(d, "name").select("session_id", "doc_name", F.col("part").alias("key")).join(r, ["session_id", "key"])
-        inside_ref = _parts(r, "key").select("session_id", "ref", F.col("part").alias("name")).join(d, ["session_id", "name"])
-        both = inside_name.select("session_id", "ref", "doc_name").unionByName(inside_ref.select("session_id", "ref", "doc_name"))
-        found = both if found is None else found.unionByName(both)
-    first = found.distinct().join(documents, ["session_id", "doc_name"]).groupBy("session_id", "ref").agg(
-        F.min_by(F.struct("doc_id", "doc_name"), F.struct("position", "doc_id")).alias("d")
-    )
+        d = listed.withColumn("name", _bare(F.col("doc_name")) if bare else F.col("doc_name")).groupBy("session_id", "name").agg(F.min("d").alias("d"))
+        inside_name = _parts(d, "name", r, "key").groupBy("session_id", F.col("part").alias("key")).agg(F.min("d").alias("d"))
+        found += [
+            r.join(inside_name, ["session_id", "key"]),
+            _parts(r, "key", d, "name").withColumnRenamed("part", "name").join(d, ["session_id", "name"]),
+            r.where("key = ''").join(d.groupBy("session_id").agg(F.min("d").alias("d")), "session_id"),
+            r.join(d.where("name = ''").select("session_id", "d"), "session_id"),
+        ]
+    hits = found[0].select("session_id", "ref", "d")
+    for more in found[1:]:
+        hits = hits.unionByName(more.select("session_id", "ref", "d"))
+    first = hits.groupBy("session_id", "ref").agg(F.min("d").alias("d"))
     rule = (
         F.when(F.col("doc_name") == F.col("ref"), "exact")
         .when(_bare(F.col("doc_name")) == _bare(F.col("ref")), "without_extension").otherwise("contained")
