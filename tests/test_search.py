@@ -97,3 +97,35 @@ def test_hybrid(spark):
 )
 def test_porter(word, stem):
     assert porter_stem(word) == stem
+
+
+def test_term_search_tiles_pass_on_only_the_best(spark):
+    """Tiles of a few rows, copies and repeated questions: the hits of brute force, and no row per pair of chunk and question."""
+    rng = np.random.default_rng(11)
+    words = [a + b + c for a in "bcd" for b in "aeiou" for c in "klmn"]
+    texts = [" ".join(rng.choice(words, size=rng.integers(1, 12))) for _ in range(60)]
+    texts[20:40] = [texts[20]] * 20
+    chunks = spark.createDataFrame([("hot" if i % 4 else "cold", i, f"{i}_chunk_0", t) for i, t in enumerate(texts)], "session_id string, doc_id long, chunk_id string, content string")
+    asked = [" ".join(rng.choice(words, size=6)) for _ in range(9)] + [texts[20], "zzz", ""]
+    asked += [asked[0]]
+    queries = spark.createDataFrame([(i, "hot", t) for i, t in enumerate(asked)], "query_id long, session_id string, query_text string")
+
+    def counts(text):
+        return {w: text.split().count(w) for w in set(text.split())}
+
+    want = []
+    for q, text in enumerate(asked):
+        a, scored = counts(text), []
+        for i, t in enumerate(texts):
+            b = counts(t)
+            dot = sum(n * b.get(w, 0) for w, n in a.items())
+            if i % 4 and dot:
+                scored.append((-round(dot / math.sqrt(sum(n * n for n in b.values())) / math.sqrt(sum(n * n for n in a.values())), 9), f"{i}_chunk_0"))
+        want += [(q, r + 1, c) for r, (_, c) in enumerate(sorted(scored)[:3])]
+    for sizes in ((7, 4), (8192, 4096)):
+        got = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in Q.term_search(chunks, queries, 3, *sizes).collect())
+        assert got == want
+    questions = Q.term_questions(queries)
+    assert questions.select("question").distinct().count() == 11
+    passed = Q.term_scores(chunks, questions, 1).groupBy("question").count().collect()
+    assert max(r["count"] for r in passed) == 1
