@@ -213,3 +213,18 @@ def test_communities_are_split_into_connected_parts(spark):
     edges = spark.createDataFrame([("s", x, y, 1.0) for x, y in ways], "session_id string, src long, dst long, weight double")
     before, after = (GR.modularity(edges, p.where("resolution = 1.0")).first()["modularity"] for p in (level, parts))
     assert after > before
+
+
+def test_blocks_travel_in_units(spark, monkeypatch):
+    """A node is shipped once per unit that it is compared with, not once per block, and the pairs stay the same."""
+    monkeypatch.setattr(H, "UNITS", 2)
+    rng = np.random.default_rng(5)
+    words = [a + b + c for a in "bcd" for b in "aeiou" for c in "klmn"]
+    rows = [("s", i, f"name {i}", " ".join(rng.choice(words, size=16))) for i in range(64)]
+    nodes = H.distinct_texts(spark.createDataFrame(rows, "session_id string, doc_id long, doc_name string, content string"))
+    whole = {(r["src"], r["dst"], round(r["similarity"], 9)) for r in H.pair_similarity(nodes, 0.35).collect()}
+    parts = {(r["src"], r["dst"], round(r["similarity"], 9)) for r in H.pair_similarity(nodes, 0.35, 4).collect()}
+    assert whole == parts and whole
+    blocked = H.blocks_of(H.term_counts(nodes), 4)
+    units = H.units_of(blocked)
+    assert blocked.select("block").distinct().count() > 8 and units.select("unit").distinct().count() <= 3
