@@ -129,3 +129,19 @@ def test_term_search_tiles_pass_on_only_the_best(spark):
     assert questions.select("question").distinct().count() == 11
     passed = Q.term_scores(chunks, questions, 1).groupBy("question").count().collect()
     assert max(r["count"] for r in passed) == 1
+
+
+def test_texts_are_dealt_before_terms(spark, chunks):
+    """No row per term is shuffled to count the postings of a chunk, and rows of a repeated chunk are still counted together."""
+    twice = chunks.unionByName(chunks.where("doc_id = 0"))
+    postings = Q.build_keyword_index(twice).postings
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "term" in line]
+    assert postings.where("doc_id = 0 and term = 'the'").select("tf").collect()[0]["tf"] == 4
+
+
+def test_stored_frequencies_keep_the_session_names(spark, chunks, tmp_path):
+    renamed = chunks.withColumn("session_id", F.when(F.col("session_id") == "s1", "007").otherwise("12"))
+    Q.write_keyword_index(Q.build_keyword_index(renamed), str(tmp_path))
+    stored = spark.read.schema("term string, df long, session_id string").parquet(f"{tmp_path}/terms")
+    assert {(r["session_id"], r["df"]) for r in stored.where("term in ('cat', 'vital')").collect()} == {("007", 3), ("12", 1)}
