@@ -228,3 +228,18 @@ def test_blocks_travel_in_units(spark, monkeypatch):
     blocked = H.blocks_of(H.term_counts(nodes), 4)
     units = H.units_of(blocked)
     assert blocked.select("block").distinct().count() > 8 and units.select("unit").distinct().count() <= 3
+
+
+def test_small_tiles_of_sums_travel_together(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([("s", i, rng.normal(size=4).tolist()) for i in range(90)], "session_id string, doc_id long, embedding array<double>")
+    shipped = []
+    pairs = H._tile_pairs
+    monkeypatch.setattr(H, "_tile_pairs", lambda *a: shipped.append(pairs(*a)) or shipped[-1])
+    one = H.similarity_stats(vectors, tile_rows=90).first()
+    many = H.similarity_stats(vectors, tile_rows=4).first()
+    assert one["pairs"] == many["pairs"] == 90 * 89 // 2 and one["mean"] == pytest.approx(many["mean"]) and (one["max"], one["min"]) == pytest.approx((many["max"], many["min"]))
+    assert shipped[1].count() == 90
+    monkeypatch.setattr(H, "SHIPPED_ROWS", 16)
+    blocks = H.similarity_stats(vectors, tile_rows=4).first()
+    assert blocks["pairs"] == one["pairs"] and blocks["mean"] == pytest.approx(one["mean"])
