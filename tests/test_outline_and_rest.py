@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,40 @@ def test_requests_pass_once_per_time_to_live_across_batches(spark, tmp_path):
     J.stream_dedupe_requests(stream, out).awaitTermination()
     got = sorted((r["content"], r["ts"]) for r in spark.read.parquet(f"{out}/data").select("content", "ts").collect())
     assert got == [("a", day(0)), ("a", day(7)), ("a", day(14)), ("b", day(1)), ("b", day(20))]
+
+
+def _line_of(chars):
+    """Plain loop: the text of a line's characters (x0, text, x1)."""
+    out, last, right, text = "", None, None, None
+    for x0, t, x1 in sorted(c for c in chars if c[1]):
+        if last is not None and abs(x0 - last) < 1 and t == text:
+            continue
+        out += (" " if right is not None and x0 - right > 3 else "") + t
+        last, right, text = x0, x1, t
+    return out.strip()
+
+
+def test_line_texts_equal_a_loop_with_overprints_and_no_list_of_characters_is_aggregated(spark):
+    rng = random.Random(5)
+    rows = [
+        (d, p, rng.choice(["a", "b", "", "c"]), x0 := rng.choice([0.0, 0.3, 0.6, 0.9, 1.2, 1.5, 1.8, 6.0, 7.5, 20.0]) + 40 * rng.randrange(3), x0 + rng.choice([1.0, 6.0]), line * 60.0 + rng.choice([0.0, 1.0]), 10.0, rng.choice([None, 0.0, 14.0]), rng.choice(["Sans", "Sans-Bold"]))
+        for d in range(3) for p in range(2) for line in range(3) for _ in range(60)
+    ]
+    chars = spark.createDataFrame(rows, "doc_id long, page int, text string, x0 double, x1 double, top double, size double, height double, fontname string")
+    metrics = L.line_metrics(L.chars_to_lines(chars))
+    got = {(r["doc_id"], r["page"], r["line_no"]): (r["raw_text"], r["is_bold"], r["height"]) for r in metrics.collect()}
+    want = {}
+    for d, p, line in {(r[0], r[1], int(r[5] // 60)) for r in rows}:
+        own = [r for r in rows if (r[0], r[1], int(r[5] // 60)) == (d, p, line)]
+        want[d, p, line] = (_line_of([(r[3], r[2], r[4]) for r in own]), sum("Bold" in r[8] for r in own) / len(own) > 0.5, 14.0)
+    assert got == want
+    plan = metrics._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_lines_are_dealt_by_page_before_they_become_characters(spark):
+    from quire.plans import fixtures as X
+
+    plan = L.chars_to_lines(X.chars(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    deal, explode = plan.index("hashpartitioning(doc_id"), plan.index("Generate posexplode(split(text")
+    assert explode < deal and plan.count("hashpartitioning") == 1
