@@ -167,3 +167,14 @@ def test_a_persona_report_searches_once(spark):
 
     _, plan = _exchanges(R.metrics(spark, "/root/testdata/sf0.001"))
     assert "FlatMapCoGroupsInArrow" not in plan
+
+
+def test_documents_are_gathered_once_for_semantic_selection(spark):
+    from quire.operators import selection as G
+
+    chunks = spark.createDataFrame([("s", i // 4, f"d{i // 4}", f"c{i}", i % 4, 0, f"stone river {i % 3}") for i in range(40)], "session_id string, doc_id long, doc_name string, chunk_id string, chunk_index int, page_number int, content string")
+    probes = spark.createDataFrame([("s", "river stones")], "session_id string, query_text string")
+    chosen = G.select_semantic(chunks, probes)
+    moved, _ = _exchanges(chosen)
+    assert moved and not any("doc_name" in line for line in moved)
+    assert chosen.count() == 10
