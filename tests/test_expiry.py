@@ -4,6 +4,8 @@ import random
 import tempfile
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
+
 from quire.streaming import expiry as E
 from quire.streaming.jobs import read_stream
 
@@ -34,3 +36,66 @@ def test_closed_sessions_equal_a_loop_and_no_state_is_left(spark):
     # only the times of the last user, and none of the closed ones, are left
     left = spark.read.format("statestore").option("stateVarName", "pending").load(f"{folder}/progress").collect()
     assert len(left) == 1
+
+
+class _Calls:
+    """A store that counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.timers = 0, []
+
+    def getListState(self, *_):
+        return _State(self)
+
+    getValueState = getMapState = getListState
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.n += 1
+        self.timers.remove(at)
+
+    def listTimers(self):
+        self.n += 1
+        return iter(self.timers)
+
+
+class _State:
+    def __init__(self, calls):
+        self.calls, self.rows = calls, []
+
+    def _count(self, *_):
+        self.calls.n += 1
+
+    updateValue = appendValue = removeKey = _count
+
+    def containsKey(self, _):
+        self.calls.n += 1
+        return False
+
+    def get(self):
+        self.calls.n += 1
+        return self.rows[0] if len(self.rows) == 1 else None
+
+    def update(self, row):
+        self.calls.n += 1
+        self.rows = [row]
+
+    def appendList(self, rows):
+        self.calls.n += 1
+
+    def keys(self):
+        self.calls.n += 1
+        return iter([])
+
+
+def test_the_store_is_called_by_frame_and_not_by_event():
+    calls = _Calls()
+    life = E.FixedLife(24 * HOUR)
+    life.init(calls)
+    frames = [pd.DataFrame({"us": [HOUR * k + n for n in range(500)]}) for k in (5, 3, 4)]
+    list(life.handleInputRows((1,), iter(frames[:2]), None))
+    list(life.handleInputRows((1,), iter(frames[2:]), None))
+    assert calls.n < 12 and calls.timers == [27 * HOUR // 1000]
