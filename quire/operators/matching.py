@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.search import SALTS, per_salt, salted, tokens
+from quire.session import cut_lineage
 
 STEPS = "array<struct<op:string,words:string,distance:int>>"
 
@@ -58,9 +59,43 @@ def requests(spark: SparkSession, asked: list[tuple[int, str, Match]]) -> DataFr
     return spark.createDataFrame([(q, s, list(m.steps)) for q, s, m in asked], f"query_id long, session_id string, steps {STEPS}")
 
 
-def build_positions(chunks: DataFrame) -> DataFrame:
-    """(session_id, chunk_id, term, positions): where each term stands in each chunk, from 0."""
+def _leaves(asked: DataFrame) -> DataFrame:
+    """(query_id, session_id, leaf, op, distance, terms) of the leaves that hold a word."""
+    steps = asked.select("query_id", "session_id", F.posexplode("steps").alias("leaf", "step"))
+    return steps.select("query_id", "session_id", "leaf", F.col("step.op").alias("op"), F.col("step.distance").alias("distance"), tokens(F.col("step.words")).alias("terms")).where(
+        "op in ('phrase', 'prefix', 'near') and size(terms) > 0"
+    )
+
+
+def _beginnings(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with each term's beginnings (``start``) of the lengths that their session's prefixes (``asked``) have."""
+    lengths = asked.groupBy("session_id").agg(F.collect_set(F.length("start")).alias("lengths"))
+    return rows.join(lengths, "session_id").withColumn("n", F.explode("lengths")).where("n <= length(term)").withColumn("start", F.expr("left(term, n)")).drop("lengths", "n")
+
+
+def build_positions(chunks: DataFrame, only_asked: DataFrame | None = None) -> DataFrame:
+    """(session_id, chunk_id, term, positions): where each term stands in each chunk, from 0.
+
+    ``only_asked`` (as ``requests`` makes it) keeps the terms that those requests can touch in every chunk,
+    which removes most before the only shuffle when a known batch is answered without a stored table.
+    """
     placed = chunks.select("session_id", "chunk_id", F.posexplode(tokens(F.col("content"))).alias("pos", "term"))
+    if only_asked is not None:
+        leaves = _leaves(only_asked)
+        words = leaves.where("op <> 'prefix'").select("session_id", F.explode("terms").alias("term")).distinct().withColumn("whole", F.lit(True))
+        starts = leaves.where("op = 'prefix'").select("session_id", F.element_at("terms", -1).alias("start")).distinct()
+        # both are stored, so that their real, small size is known
+        words, starts = cut_lineage(words), cut_lineage(starts)
+        lengths = cut_lineage(starts.groupBy("session_id").agg(F.collect_set(F.length("start")).alias("lengths")))
+        begun = starts.withColumn("begun", F.lit(True))
+        placed = placed.join(lengths, "session_id", "left").join(words, ["session_id", "term"], "left")
+        # a whole word is kept as it is; another one is looked up by its beginnings
+        kept = placed.withColumn("start", F.explode(F.when(F.col("whole"), F.array(F.lit(None).cast("string"))).otherwise(
+            F.transform("lengths", lambda n: F.expr("term").substr(F.lit(1), n))
+        )))
+        kept = kept.join(begun, ["session_id", "start"], "left").where("whole or begun")
+        placed = kept.select("session_id", "chunk_id", "pos", "term")
+        return placed.groupBy("session_id", "chunk_id", "term").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
     return placed.groupBy("session_id", "chunk_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -85,12 +120,10 @@ def _phrases(positions: DataFrame, leaves: DataFrame, salts: int) -> DataFrame:
 
 
 def _prefixes(positions: DataFrame, leaves: DataFrame, salts: int) -> DataFrame:
-    """The vocabulary cut to the lengths asked for, joined by equality; the terms found are looked up like others."""
+    """Terms are cut to the lengths that their session asks for and joined by equality."""
     asked = leaves.where("op = 'prefix'").select("query_id", "session_id", "leaf", F.element_at("terms", -1).alias("start"))
-    lengths = asked.groupBy("session_id").agg(F.collect_set(F.length("start")).alias("lengths"))
-    words = positions.select("session_id", "term").distinct().join(lengths, "session_id").select("session_id", "term", F.explode("lengths").alias("n")).where("n <= length(term)")
-    terms = words.select("session_id", "term", F.expr("left(term, n)").alias("start")).join(asked, ["session_id", "start"]).select("query_id", "session_id", "leaf", "term")
-    return salted(positions, "chunk_id", salts).join(per_salt(terms, salts), ["session_id", "term", "salt"]).select("query_id", "leaf", "chunk_id")
+    begun = _beginnings(asked, positions.select("session_id", "chunk_id", "term"))
+    return salted(begun, "chunk_id", salts).join(per_salt(asked, salts), ["session_id", "start", "salt"]).select("query_id", "leaf", "chunk_id").distinct()
 
 
 def _nears(positions: DataFrame, leaves: DataFrame, salts: int) -> DataFrame:
@@ -130,10 +163,8 @@ def match(positions: DataFrame, asked: DataFrame, salts: int = SALTS) -> DataFra
     leaf without a word matches nothing. What is taken away may match anywhere, but a result always
     matches a leaf, so there is no expression of what is missing alone.
     """
-    steps = asked.select("query_id", "session_id", F.posexplode("steps").alias("leaf", "step"))
-    leaves = steps.select("query_id", "session_id", "leaf", F.col("step.op").alias("op"), F.col("step.distance").alias("distance"), tokens(F.col("step.words")).alias("terms")).where(
-        "op in ('phrase', 'prefix', 'near') and size(terms) > 0"
-    )
+    asked = cut_lineage(asked)  # read by every kind of leaf
+    leaves = cut_lineage(_leaves(asked))
     found = _phrases(positions, leaves, salts).unionByName(_prefixes(positions, leaves, salts)).unionByName(_nears(positions, leaves, salts))
     held = found.groupBy("query_id", "chunk_id").agg(F.collect_set("leaf").alias("_leaves"))
     return held.join(asked.select("query_id", "steps"), "query_id").where(_combined("steps", "_leaves")).select("query_id", "chunk_id")

@@ -59,3 +59,22 @@ def test_requests_without_words_match_nothing(spark, chunks):
     assert {r["query_id"] for r in got} == {5}
     assert M.match(positions.where("false"), M.requests(spark, asked)).count() == 0
     assert M.match(positions, M.requests(spark, [])).count() == 0
+
+
+def test_positions_of_asked_words_alone_give_the_same_matches(spark, chunks):
+    texts, table = chunks
+    rng = random.Random(4)
+    asked = [(q, "sr"[q % 2], expression(rng, q % 3)[0]) for q in range(30)] + [(99, "s", M.prefix("be")), (98, "r", M.prefix("g") & M.phrase("beta"))]
+    requests = M.requests(spark, asked)
+    whole = M.match(M.build_positions(table), requests)
+    assert {tuple(r) for r in M.match(M.build_positions(table, only_asked=requests), requests).collect()} == {tuple(r) for r in whole.collect()}
+    few = M.requests(spark, [(1, "s", M.prefix("be") - M.phrase("gamma"))])
+    kept = M.build_positions(table, only_asked=few).select("session_id", "term").distinct().collect()
+    assert {tuple(r) for r in kept} == {("s", "beta"), ("s", "betas"), ("s", "gamma")}
+
+
+def test_an_asked_batch_does_not_shuffle_the_positions(spark, chunks, tmp_path):
+    M.write_positions(M.build_positions(chunks[1]), str(tmp_path / "p"))
+    found = M.match(M.read_positions(spark, str(tmp_path / "p")), M.requests(spark, [(1, "s", M.prefix("be") & M.phrase("eta theta") | M.near("eps zeta"))]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [session_id" not in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "salt#" in x]
