@@ -4,7 +4,7 @@ Four kinds have a fixed definition (``base_spans``) and are always redacted.
 Generators propose many more, overlapping spans: anything that looks like a
 number in groups, an address, an assignment of a secret, or a token of mixed
 characters. Boosted trees score each proposal from its format and its context;
-the trees are fitted on proposals of a bounded sample of documents, whose labels
+the trees are fitted on the proposals of all documents, whose labels
 are the base definitions and a few unmistakable key formats. A proposal passes
 if its calibrated score reaches its kind's threshold and no span chosen before
 overlaps it.
@@ -12,10 +12,9 @@ overlaps it.
 
 from __future__ import annotations
 
-import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import map_batches, texts_of
+from quire.session import cut_lineage, discard
 
 #: Kinds in the order of output; the first four have a fixed definition.
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
@@ -155,73 +155,105 @@ def weak_label(text: str, span: Span, base: list[Span]) -> int:
 class Trees:
     """Gradient-boosted regression trees for a yes/no label, on binned features."""
 
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32) -> None:
-        self.rounds, self.depth, self.rate, self.bins = rounds, depth, rate, bins
+    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3) -> None:
+        self.rounds, self.depth, self.rate = rounds, depth, rate
         self.start = 0.0
         self.trees: list[dict] = []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        share = (y.sum() + 0.5) / (len(y) + 1)
+    def fit(self, cuts: list[np.ndarray], rows: int, hits: int, sums: Callable[[Trees, dict], np.ndarray]) -> Trees:
+        """``sums`` gives the sums of gradients and curvatures per leaf, feature and bin of the tree being grown (``leaf_sums``)
+        over all rows, so no row is needed here; ``rows`` and ``hits`` are how many there are and how many of label 1."""
+        share = (hits + 0.5) / (rows + 1)
         self.start = math.log(share / (1 - share))
-        if not len(y):
-            return self
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
-        binned = np.stack([np.searchsorted(k, c, side="left") for k, c in zip(cuts, x.T)], axis=1)
-        score = np.full(len(y), self.start)
-        for _ in range(self.rounds if 0 < y.sum() < len(y) else 0):
-            p = 1 / (1 + np.exp(-score))
-            tree = self._grow(binned, cuts, y - p, p * (1 - p), np.arange(len(y)), self.depth)
+        for _ in range(self.rounds if 0 < hits < rows else 0):
+            tree = {"leaf": 0}
+            for depth in range(self.depth):
+                leaves = _leaves_of(tree)
+                if not leaves:
+                    break
+                total = sums(self, tree)
+                for n, leaf in enumerate(leaves):
+                    self._split(leaf, total[n], cuts, last=depth + 1 == self.depth)
+                for n, leaf in enumerate(_leaves_of(tree)):
+                    leaf["leaf"] = n
             self.trees.append(tree)
-            score += self._apply(tree, x)
         return self
 
-    def _grow(self, binned, cuts, gradient, hessian, rows, depth) -> dict:
-        g, h = gradient[rows].sum(), hessian[rows].sum()
+    def _split(self, node: dict, total: np.ndarray, cuts: list[np.ndarray], last: bool) -> None:
+        """Make ``node`` a test of its best cut with two leaves below, or a value where none gains."""
+        g, h, n = total[:, 0].sum(axis=1)  # every feature's bins hold all rows
         best = (1e-6, None, None)
-        for f in range(binned.shape[1]) if depth and len(rows) > 8 else ():
+        for f in range(total.shape[1]) if n > 8 else ():
             if not len(cuts[f]):
                 continue
-            b = binned[rows, f]
-            left_g = np.cumsum(np.bincount(b, gradient[rows], len(cuts[f]) + 1))[:-1]
-            left_h = np.cumsum(np.bincount(b, hessian[rows], len(cuts[f]) + 1))[:-1]
+            left_g, left_h = (np.cumsum(part[f, : len(cuts[f]) + 1])[:-1] for part in total[:2])
             gain = left_g**2 / (left_h + 1) + (g - left_g) ** 2 / (h - left_h + 1) - g**2 / (h + 1)
             if gain.max() > best[0]:
                 best = (gain.max(), f, int(gain.argmax()))
+        node.clear()
         if best[1] is None:
-            return {"value": self.rate * g / (h + 1)}
+            node["value"] = float(self.rate * g / (h + 1))
+            return
         _, f, k = best
-        low = binned[rows, f] <= k
-        return {
-            "feature": f, "cut": float(cuts[f][k]),
-            "low": self._grow(binned, cuts, gradient, hessian, rows[low], depth - 1),
-            "high": self._grow(binned, cuts, gradient, hessian, rows[~low], depth - 1),
-        }
-
-    def _apply(self, tree: dict, x: np.ndarray) -> np.ndarray:
-        if "value" in tree:
-            return np.full(len(x), tree["value"])
-        return np.where(x[:, tree["feature"]] <= tree["cut"], self._apply(tree["low"], x), self._apply(tree["high"], x))
+        low = total[:, f, : k + 1].sum(axis=1)
+        node.update(feature=f, cut=float(cuts[f][k]))
+        for side, (sg, sh, _) in (("low", low), ("high", np.array([g, h, n]) - low)):
+            node[side] = {"value": float(self.rate * sg / (sh + 1))} if last else {"leaf": 0}
+
+    def _apply(self, tree: dict, x: np.ndarray, key: str = "value") -> np.ndarray:
+        if "feature" not in tree:
+            return np.full(len(x), tree.get(key, -1))
+        return np.where(x[:, tree["feature"]] <= tree["cut"], self._apply(tree["low"], x, key), self._apply(tree["high"], x, key))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.start + sum((self._apply(t, x) for t in self.trees), np.zeros(len(x))))))
 
 
-def _threshold(score: np.ndarray, label: np.ndarray, precision: float) -> float:
-    """The lowest score from which on the held-back precision is reached; over 1 if none is."""
-    order = np.argsort(-score, kind="stable")
-    hits = np.cumsum(label[order]) / np.arange(1, len(order) + 1)
-    last = np.r_[score[order][1:] != score[order][:-1], True] if len(order) else np.zeros(0, bool)
-    good = np.flatnonzero((hits >= precision) & last)
-    return float(score[order][good[-1]]) if len(good) else 2.0
+def _leaves_of(tree: dict) -> list[dict]:
+    """The leaves still to be split, from low to high."""
+    if "feature" in tree:
+        return _leaves_of(tree["low"]) + _leaves_of(tree["high"])
+    return [tree] if "leaf" in tree else []
+
+
+#: Bins of a feature, and what a gradient is counted in: whole numbers add up the same in every order.
+BINS, UNIT = 32, 1 << 24
+#: Distinct proposals of which the sums are taken in place; of more, every task sums its own. The sums, and so the trees, are the same.
+IN_PLACE = 20_000
+
+
+def leaf_sums(trees: Trees, tree: dict, cuts: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(leaf, 3, feature, bin) of the rows: sums of gradients and curvatures in units, and numbers of rows."""
+    p = trees.score(x)
+    leaf = trees._apply(tree, x, "leaf").astype(np.int64)
+    out = np.zeros((len(_leaves_of(tree)), 3, len(cuts), BINS), np.int64)
+    open_ = np.flatnonzero(leaf >= 0)
+    parts = np.rint((y - p) * UNIT).astype(np.int64), np.rint(p * (1 - p) * UNIT).astype(np.int64), np.ones(len(y), np.int64)
+    for f, cut in enumerate(cuts):
+        at = np.searchsorted(cut, x[open_, f], side="left")
+        for k, part in enumerate(parts):
+            np.add.at(out[:, k, f], (leaf[open_], at), part[open_])
+    return out
+
+
+def _threshold(cells: np.ndarray, many: np.ndarray, hits: np.ndarray, precision: float) -> float:
+    """The lowest score from which on the held-back precision is reached; over 1 if none is. Scores are counted in cells."""
+    order = np.argsort(-cells)
+    good = np.flatnonzero(np.cumsum(hits[order]) >= precision * np.cumsum(many[order]))
+    return float(cells[order][good[-1]]) / SCORE_CELLS if len(good) else 2.0
+
+
+#: Cells that scores are counted in to find a threshold.
+SCORE_CELLS = 1 << 14
 
 
-def fit_pii(docs: DataFrame, sample: int = 20_000, precision: float = 0.98, text: str = "text") -> dict:
-    """Trees and thresholds from the proposals of the ``sample`` proposals with the smallest hash.
+def fit_pii(docs: DataFrame, precision: float = 0.98, text: str = "text", in_place: int = IN_PLACE) -> dict:
+    """Trees and thresholds from the distinct proposals of all documents.
 
-    The sample bound is the only limit: proposals are made from all documents,
-    each with a hash of its text, and the smallest hashes are taken, so the
-    sample depends on neither the layout nor the size of the table. A third of it
-    is held back to calibrate the thresholds.
+    Every one counts: the bins' borders are quantiles of all, each split of a tree is chosen by
+    sums over all, and thresholds by counts over all that are held back (a third, by hash). What
+    reaches the driver are sums per leaf, feature and bin and counts per kind and cell of the score,
+    whose number doesn't depend on the rows; up to ``in_place`` rows are summed there instead, with the same result.
     """
 
     def propose(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -229,20 +261,66 @@ def fit_pii(docs: DataFrame, sample: int = 20_000, precision: float = 0.98, text
         for t in texts_of(batch.column(0)):
             if spans := proposals(t):
                 base = base_spans(t)
-                rows += [json.dumps([round(float(v), 6) for v in features(t, s)]) for s in spans]
+                rows += [[round(float(v), 6) for v in features(t, s)] for s in spans]
                 labels += [weak_label(t, s, base) for s in spans]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(labels, pa.int32())], names=["features", "label"])
-
-    made = map_batches(docs.select(docs[text].cast("string").alias("_text")), propose, "features string, label int")
-    taken = made.groupBy("features", "label").count().orderBy(F.xxhash64("features", "label"), "features", "label").limit(sample).collect()
-    x = np.array([json.loads(r["features"]) for r in taken], float).reshape(-1, len(FEATURES))
-    y = np.array([r["label"] for r in taken], float)
-    back = np.arange(len(y)) % 3 == 0
-    trees = Trees().fit(x[~back], y[~back])
-    score, thresholds = trees.score(x), {}
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], names=["features", "label"])
+
+    made = map_batches(docs.select(docs[text].cast("string").alias("_text")), propose, "features array<double>, label int")
+    stored = cut_lineage(made.distinct().withColumn("back", F.pmod(F.xxhash64("features", "label"), F.lit(3)) == 0))
+    try:
+        return _fitted(stored, precision, in_place)
+    finally:
+        discard(stored)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(FEATURES))
+
+
+def _fitted(stored: DataFrame, precision: float, in_place: int) -> dict:
+    taught = stored.where("not back")
+    steps = [float(q) for q in np.linspace(0, 1, BINS + 1)[1:-1]]
+    one = taught.agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum("label"), F.lit(0)).alias("hits"),
+        *[F.percentile_approx(F.col("features")[i], steps, 10_000).alias(f"_{i}") for i in range(len(FEATURES))],
+    ).first()
+    cuts = [np.unique(np.array(one[f"_{i}"] or [], float)) for i in range(len(FEATURES))]
+    local = None
+    if one["rows"] <= in_place:
+        local = taught.select("features", "label").toArrow().combine_chunks()
+        local = _matrix(local.column("features").combine_chunks()), local.column("label").to_numpy().astype(float)
+
+    def sums(trees: Trees, tree: dict) -> np.ndarray:
+        shape = (len(_leaves_of(tree)), 3, len(cuts), BINS)
+        if local is not None:
+            total = leaf_sums(trees, tree, cuts, *local)
+        else:
+            def each(batches):
+                own = np.zeros(shape, np.int64)
+                for batch in batches:
+                    own += leaf_sums(trees, tree, cuts, _matrix(batch.column("features")), batch.column("label").to_numpy().astype(float))
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.ravel()[at])], names=["cell", "n"])
+
+            total = np.zeros(math.prod(shape), np.int64)
+            for r in taught.select("features", "label").mapInArrow(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+                total[r["cell"]] = r["n"]
+        return total.reshape(shape) / np.array([UNIT, UNIT, 1]).reshape(1, 3, 1, 1)
+
+    trees = Trees().fit(cuts, one["rows"], one["hits"], sums)
+
+    def score(batches):
+        for batch in batches:
+            x = _matrix(batch.column("features"))
+            cell = np.floor(trees.score(x) * SCORE_CELLS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int64)), pa.array(cell), batch.column("label")], names=["kind", "cell", "label"])
+
+    scored = stored.where("back").select("features", "label").mapInArrow(score, "kind long, cell long, label int")
+    counts = np.array([tuple(r) for r in scored.groupBy("kind", "cell").agg(F.count("*"), F.sum("label")).collect()], np.int64).reshape(-1, 4)
+    thresholds = {}
     for k, kind in enumerate(KINDS):
-        own = x[:, 0] == k
-        thresholds[kind] = max(0.5, _threshold(score[own & back], y[own & back], precision)) if (own & back).any() else 0.9
+        own = counts[counts[:, 0] == k]
+        thresholds[kind] = max(0.5, _threshold(*own[:, 1:].T, precision)) if len(own) else 0.9
     return {"start": trees.start, "trees": trees.trees, "thresholds": thresholds}
 
 

@@ -286,3 +286,30 @@ def test_quality_scores_keep_the_share_of_the_classes_in_a_small_sample(spark):
     assert abs(np.mean(list(full.values())) - 0.9) < 0.05
     assert abs(np.mean(list(small.values())) - 0.9) < 0.1
     assert sum((full[i] >= 0.3) != (small[i] >= 0.3) for i in full) < 0.05 * len(full)
+
+
+def test_pii_models_come_from_all_proposals_and_are_the_same_in_place_and_by_task(spark):
+    rng = np.random.default_rng(3)
+    keys = ["".join(rng.choice(list("abcdef0123456789"), 24)) for _ in range(40)]
+    rows = [(i, f"token = {k}" if i % 2 else f"run {k} of mail{i}@example.org, ssn: {100 + i}-22-{1000 + i}") for i, k in enumerate(keys)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = []
+
+    class Counted(pii.Trees):
+        rounds_ = 2
+
+        def __init__(self):
+            super().__init__(rounds=self.rounds_)
+
+        def fit(self, cuts, rows, hits, sums):
+            seen.append(rows)
+            return super().fit(cuts, rows, hits, sums)
+
+    before, pii.Trees = pii.Trees, Counted
+    try:
+        models = [pii.fit_pii(table, in_place=n) for n in (10**6, 0)]
+    finally:
+        pii.Trees = before
+    assert models[0] == models[1] and len(models[0]["trees"]) == 2 and "feature" in models[0]["trees"][0]
+    spans = {(tuple(round(float(v), 6) for v in pii.features(t, s)), pii.weak_label(t, s, pii.base_spans(t))) for _, t in rows for s in pii.proposals(t)}
+    assert seen[0] == seen[1] and len(spans) / 2 < seen[0] < len(spans)  # two thirds by hash
