@@ -82,20 +82,12 @@ def build_positions(chunks: DataFrame, only_asked: DataFrame | None = None) -> D
     placed = chunks.select("session_id", "chunk_id", F.posexplode(tokens(F.col("content"))).alias("pos", "term"))
     if only_asked is not None:
         leaves = _leaves(only_asked)
-        words = leaves.where("op <> 'prefix'").select("session_id", F.explode("terms").alias("term")).distinct().withColumn("whole", F.lit(True))
-        starts = leaves.where("op = 'prefix'").select("session_id", F.element_at("terms", -1).alias("start")).distinct()
-        # both are stored, so that their real, small size is known
-        words, starts = cut_lineage(words), cut_lineage(starts)
-        lengths = cut_lineage(starts.groupBy("session_id").agg(F.collect_set(F.length("start")).alias("lengths")))
-        begun = starts.withColumn("begun", F.lit(True))
-        placed = placed.join(lengths, "session_id", "left").join(words, ["session_id", "term"], "left")
-        # a whole word is kept as it is; another one is looked up by its beginnings
-        kept = placed.withColumn("start", F.explode(F.when(F.col("whole"), F.array(F.lit(None).cast("string"))).otherwise(
-            F.transform("lengths", lambda n: F.expr("term").substr(F.lit(1), n))
-        )))
-        kept = kept.join(begun, ["session_id", "start"], "left").where("whole or begun")
-        placed = kept.select("session_id", "chunk_id", "pos", "term")
-        return placed.groupBy("session_id", "chunk_id", "term").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+        words = leaves.where("op <> 'prefix'").select("session_id", F.explode("terms").alias("term"))
+        starts = cut_lineage(leaves.where("op = 'prefix'").select("session_id", F.element_at("terms", -1).alias("start")).distinct())
+        begun = _beginnings(starts, placed.select("session_id", "term").distinct()).join(starts, ["session_id", "start"], "left_semi")
+        # stored, so that its real, small size is known
+        wanted = cut_lineage(words.unionByName(begun.select("session_id", "term")).distinct())
+        placed = placed.join(wanted, ["session_id", "term"], "left_semi")
     return placed.groupBy("session_id", "chunk_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
